@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_duplicates, packing, secrets, string_kernel
+from . import fingerprints, mixing, near_duplicates, packing, quality, secrets, string_kernel
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,9 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": _over("documents", secrets.secrets_of),
+    "op3_quality_rules": _over("documents", quality.judged),
     "op4_best_fit_packing": _over("documents", packing.packed),
+    "op6_document_fingerprints": _over("documents", fingerprints.fingerprinted),
     "op7_source_mixing": _over("documents", mixing.mix_documents),
     "op9_language_id": _over("documents", string_kernel.language_of),
     "op10_minhash_near_dedup": _over("documents", near_duplicates.components),
@@ -34,5 +36,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_secret_scans": secrets.oracle(),
+    "op3_quality_rules": quality.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
 }
