@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, near_duplicates, packing, quality, secrets, string_kernel
+from . import fingerprints, html_text, mixing, near_duplicates, packing, quality, secrets, string_kernel, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,14 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": _over("pages", warc.archived),
     "op2_secret_scans": _over("documents", secrets.secrets_of),
     "op3_quality_rules": _over("documents", quality.judged),
     "op4_best_fit_packing": _over("documents", packing.packed),
+    "op5_html_extraction": _over("pages", html_text.extracted),
     "op6_document_fingerprints": _over("documents", fingerprints.fingerprinted),
     "op7_source_mixing": _over("documents", mixing.mix_documents),
+    "op8_toxicity": lambda spark, sf_dir: toxicity.graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
     "op9_language_id": _over("documents", string_kernel.language_of),
     "op10_minhash_near_dedup": _over("documents", near_duplicates.components),
     "pipeline": _pipeline,
