@@ -1,0 +1 @@
+"""Empty on purpose: the engine's operators are batch operators, and none of them reads a stream."""
