@@ -8,9 +8,10 @@ leading zeros of the other bits (capped at 63) and the MANTISSA bits behind the
 2. BANDS bands of ROWS registers each. Nodes that agree in a band (not in an empty one) meet in a group. Groups with
    the same members are kept once, in the first such band.
 3. Groups are cut into blocks of BLOCK nodes, and every pair of blocks is a unit of work of bounded size. In a unit,
-   pairs that first agree in this band are estimated from their registers (corrected for chance collisions); those
-   within MARGIN of the threshold or above are verified on their full sets, best first, unless they are connected
-   already. Links come out as stars, so a group of n copies gives fewer than n links, not n * n.
+   pairs that first agree in this band are estimated from their registers (corrected for chance collisions). Only nodes
+   with a pair within MARGIN of the threshold or above stay in the unit; their full sets are made from their texts
+   again, and the pairs are verified, best first, unless they are connected already. Links come out as stars, so a
+   group of n copies gives fewer than n links, not n * n.
 4. Links are joined to components by large-star and small-star rounds, each written to the shared folder.
 
 With J >= 0.85 a pair shares no band with a probability under 1e-10; smaller sets have empty registers in common and are
@@ -162,18 +163,14 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "node long, regs binary, shingles binary")
 
 
-def _links_of(group: pd.DataFrame, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links of one unit: the pairs of one block, or of block bi with block bj. A link is (member, smallest member)."""
+def _near(group: pd.DataFrame, size: np.ndarray, regs: np.ndarray, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one unit (places in group), best estimate first, that may reach the threshold and share no band
+    before this one: of one block, or of block bi with block bj."""
     num, den = threshold
     band, bi, bj = int(group["band"].iloc[0]), int(group["bi"].iloc[0]), int(group["bj"].iloc[0])
-    node = group["node"].to_numpy(np.int64)
     side = group["block"].to_numpy(np.int64)
-    regs = np.frombuffer(b"".join(group["regs"]), dtype=np.uint16).reshape(len(node), BUCKETS)
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
-    size = np.asarray([len(x) for x in sets], dtype=np.float64)
     left = np.flatnonzero(side == bi)
     right = left if bi == bj else np.flatnonzero(side == bj)
-    keys = np.stack([band_keys(r) for r in regs])[:, :band] if band else np.zeros((len(node), 0), dtype=np.uint64)
     est = estimates(regs[left], regs[right], size[left], size[right])
     # sizes alone bound the Jaccard value
     bound = np.minimum(size[left][:, None], size[right][None, :]) * den >= num * np.maximum(size[left][:, None], size[right][None, :])
@@ -182,6 +179,21 @@ def _links_of(group: pd.DataFrame, threshold: tuple[int, int]) -> list[tuple[int
         near &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
     x, y = np.nonzero(near)
     best = np.argsort(-est[x, y], kind="stable")
+    x, y = left[x[best]], right[y[best]]
+    if band and len(x):
+        keys = np.stack([band_keys(r)[:band] for r in regs])
+        new = ~np.concatenate([((keys[x[i : i + 65536]] == keys[y[i : i + 65536]]) & (keys[x[i : i + 65536]] != 0)).any(axis=1) for i in range(0, len(x), 65536)])
+        x, y = x[new], y[new]
+    return x, y
+
+
+def _links_of(group: pd.DataFrame, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links of one unit as (member, smallest member)."""
+    num, den = threshold
+    node = group["node"].to_numpy(np.int64)
+    regs = np.frombuffer(b"".join(group["regs"]), dtype=np.uint16).reshape(len(node), BUCKETS)
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"]]
+    size = np.asarray([len(x) for x in sets], dtype=np.float64)
     root = np.arange(len(node))
 
     def find(i: int) -> int:
@@ -190,11 +202,9 @@ def _links_of(group: pd.DataFrame, threshold: tuple[int, int]) -> list[tuple[int
             i = root[i]
         return i
 
-    for i, j in zip(left[x[best]].tolist(), right[y[best]].tolist(), strict=True):
-        if node[i] == node[j]:
-            continue
+    for i, j in zip(*(v.tolist() for v in _near(group, size, regs, threshold)), strict=True):
         a, b = find(i), find(j)
-        if a == b or ((keys[i] == keys[j]) & (keys[i] != 0)).any():  # connected, or met in an earlier band
+        if a == b or node[i] == node[j]:
             continue
         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         if den * both >= num * (size[i] + size[j] - both):
@@ -207,7 +217,8 @@ def _links_of(group: pd.DataFrame, threshold: tuple[int, int]) -> list[tuple[int
 
 
 def links(docs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """a, b: links whose components are those of all pairs of nodes with J >= threshold. nodes: node, regs."""
+    """a, b: links whose components are those of all pairs of nodes with J >= threshold. nodes: node, n_shingles,
+    regs, read more than once."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -220,21 +231,32 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> Data
     groups = bands.groupBy("band", "key").agg(F.count("*").alias("g"), F.sum(F.shiftright(member, 8)).alias("s"), F.bit_xor(member).alias("x")).where("g > 1")
     kept = groups.groupBy("g", "s", "x").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key", "g")
     kept = staged(kept, "near-groups")
-    met = staged(bands.join(kept, ["band", "key"]).select("band", "key", "g", "node"), "near-met")
-    wanted = staged(met.select("node").distinct(), "near-wanted")
-    if wanted.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    # only texts that met others are read for their full sets
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(wanted, 16), "node", "left_semi")
-    sets = _sets(texts).dropDuplicates(["node", "shingles"])
+    met = staged(bands.join(broadcast_if_small(kept, 32), ["band", "key"]).select("band", "key", "g", "node"), "near-met")
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "key"), blocks).cast("int")
     cut = met.withColumn("blocks", blocks).withColumn("block", own)
     cut = cut.select("band", "key", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cut = cut.select("band", "key", "node", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    rows = cut.count()
-    unit = F.pmod(F.xxhash64("band", "key", "bi", "bj"), F.lit(max(1, rows // UNIT_ROWS)))
-    work = cut.withColumn("unit", unit).join(sets, "node")
+    unit = lambda n: F.pmod(F.xxhash64("band", "key", "bi", "bj"), F.lit(max(1, n // UNIT_ROWS)))
+
+    def sift(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The members of each unit that have a pair there."""
+        out = []
+        for _, group in pdf.groupby(["band", "key", "bi", "bj"], sort=False):
+            regs = np.frombuffer(b"".join(group["regs"]), dtype=np.uint16).reshape(len(group), BUCKETS)
+            x, y = _near(group, group["n_shingles"].to_numpy(np.float64), regs, threshold)
+            out.append(group.iloc[np.unique(np.concatenate([x, y]))])
+        return pd.concat(out)[list(place)]
+
+    place = {"band": "int", "key": "long", "node": "long", "block": "int", "bi": "int", "bj": "int"}
+    work = cut.withColumn("unit", unit(met.count())).join(nodes, "node")
+    left = work.groupBy("unit").applyInPandas(sift, ", ".join(f"{k} {v}" for k, v in place.items()))
+    left = staged(left.distinct(), "near-left")
+    wanted = staged(left.select("node").distinct(), "near-wanted")
+    # only texts with such a pair are read again, for their full sets
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(broadcast_if_small(wanted, 16), "node", "left_semi")
+    sets = _sets(texts).dropDuplicates(["node", "shingles"])
+    work = left.withColumn("unit", unit(left.count())).join(sets, "node")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[int, int]] = set()
@@ -269,8 +291,9 @@ def components(docs: DataFrame, threshold: tuple[int, int] = (85, 100)) -> DataF
     filled = sig.where("n_shingles > 0")
     classes = filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"))
     # joined on the row that gave the class its name: no class, however large, meets in one task
-    nodes = filled.join(classes, ["c1", "c2", "doc_id"]).select(F.col("doc_id").alias("node"), "regs")
-    found = staged(links(docs, nodes.dropDuplicates(["node", "regs"]), threshold), "near-links")
+    nodes = filled.join(classes, ["c1", "c2", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "regs")
+    nodes = staged(nodes.dropDuplicates(["node", "regs"]), "near-nodes")
+    found = staged(links(docs, nodes, threshold), "near-links")
     classes = classes.withColumnRenamed("doc_id", "least")
     # a document with several texts ties their classes
     several = filled.where("doc_id is not null").groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi")
