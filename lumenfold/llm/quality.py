@@ -23,7 +23,7 @@ from .common import SPACE, broadcast_if_small, let, staged
 
 LEAST_WORDS, LEAST_GROUP, SPREAD = 50, 200, 3
 #: Per measure, the least spread: groups whose documents agree in a measure would else reject the slightest deviation.
-MEASURES = {"symbols": 30, "dup_lines": 100, "repeats": 100, "word_length": 50}
+MEASURES = {"symbols": 30, "dup_lines": 150, "repeats": 100, "word_length": 50}
 SYMBOLS = "#*$%&|<>"
 
 
