@@ -135,7 +135,7 @@ def test_redaction_masks_whole_spans(spark):
 def test_trigram_queries_lose_no_match(rule):
     q, r = trigram_query.query_of(rule.pattern), random.Random(2)
     assert (q is None) == (rule.kind == "hex")
-    pieces = ["password", "PassWD", "secret", "TOKEN", "apikey", "Api_Key", "=", ":", " ", '"', "AKIA", "ABCDEF123456", "ghp_", "xoxb-", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "a1b2c3d4e5f6g7h8", "-"]
+    pieces = ["password", "PassWD", "secret", "TOKEN", "apikey", "Api_Key", "=", ":", " ", '"', "AKIA", "ABCDEF123456", "ghp_", "xoxb-", "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "a1b2c3d4e5f6g7h8", "-", "eyJhbGciOiJI.eyJzdWIiOiIx", "gho_" + "Z9" * 20]
     hits = 0
     for _ in range(4000):
         t = "".join(r.choice(pieces) for _ in range(r.randint(1, 9)))
@@ -350,7 +350,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(rows, PAGES)
     assert set(scalars(warc.archived(pages))) == H.archive([(p, h) for p, _, h in rows])
     assert scalars(warc.archived(pages.limit(0))) == [] and len(scalars(warc.archived(H.clashing(pages)))) == len(rows)
-    assert len(scalars(warc.archived(spark.createDataFrame([(1, "u", body), (1, "u", body), (None, "u", "x")], PAGES)))) == 3 + 2
+    assert len(scalars(warc.archived(spark.createDataFrame([(1, "u", body), (1, "u", body), (None, "u", "x")], PAGES)))) == 3
 
 
 def test_warc_record_is_a_gzip_member():
