@@ -18,8 +18,8 @@ LEAST_SCORE = 0.25
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognized language."""
     model = string_kernel.train(docs)
-    out = string_kernel.classify(docs, model, docs.columns)
-    return out.where((F.col("lang_pred") != string_kernel.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    out = string_kernel.classify(docs, model, docs.columns, "__pred", "__score")
+    return out.where((F.col("__pred") != string_kernel.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__pred", "__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,30 +113,31 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(*training_sample(docs.select("doc_id", "text", "lang"), per_language))
 
 
-def classify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """`columns` of docs, lang_pred and score. columns must not hold text unless it is wanted."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # DIMS x languages floats
+def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """`columns` of docs, and two more with the names of pred and score. columns must not hold text unless it is wanted."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x languages floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["__text"]]
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             known = np.asarray([bool(m.languages) and _LETTER.search(t) is not None for t in texts], dtype=bool)
-            pred, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            best, value = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             if known.any():
                 f = m.scores([t for t, k in zip(texts, known, strict=True) if k])
-                best = f.argmax(axis=1)
-                pred[known] = np.asarray(m.languages, dtype=object)[best]
-                score[known] = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
-            yield pdf.drop(columns="__text").assign(lang_pred=pred, score=score)
-
-    # doc_id as text keeps nulls and large ids exact through pandas
-    kinds = dict(docs.dtypes)
-    narrow = docs.select(*[F.col(c).cast("string").alias(c) if kinds[c] == "bigint" else F.col(c) for c in columns], F.col("text").alias("__text"))
-    schema = ", ".join(f"`{c}` {'string' if kinds[c] == 'bigint' else kinds[c]}" for c in columns)
-    out = narrow.mapInPandas(run, f"{schema}, lang_pred string, score double")
-    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in columns], "lang_pred", "score")
+                top = f.argmax(axis=1)
+                best[known] = np.asarray(m.languages, dtype=object)[top]
+                value[known] = np.clip((f[np.arange(len(f)), top] + 1) / 2, 0, 1)
+            yield pdf.drop(columns="text").assign(pred=best, score=value)
+
+    # columns go by place, so that no name clashes; integers as text keep nulls and large ids exact through pandas
+    kinds = [dict(docs.dtypes)[c] for c in columns]
+    through = ["string" if k == "bigint" else k for k in kinds]
+    narrow = docs.select(*[F.col(c).cast(t).alias(f"c{i}") for i, (c, t) in enumerate(zip(columns, through, strict=True))], "text")
+    schema = "".join(f"c{i} {t}, " for i, t in enumerate(through))
+    out = narrow.mapInPandas(run, f"{schema}pred string, score double")
+    back = [F.col(f"c{i}").cast(k).alias(c) for i, (c, k) in enumerate(zip(columns, kinds, strict=True))]
+    return out.select(*back, F.col("pred").alias(pred), F.col("score").alias(score))
 
 
 def language_of(docs: DataFrame, model: Model | None = None) -> DataFrame:
