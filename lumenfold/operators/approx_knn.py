@@ -15,7 +15,7 @@ from .neighbours import distinct_places, equalize, nearest, prefixed
 from .voxel import CELL, Grid, cell_counts, cell_pairs
 
 MAX_RADIUS = 50
-LADDER = (1, 2, 4, 8, 16, 32, MAX_RADIUS)
+LADDER = (2, 4, 8, 16, 32, MAX_RADIUS)
 
 
 def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFrame:
@@ -49,14 +49,15 @@ def candidates(points: DataFrame, k: int, voxel_mode: str = "truncated", include
     stops = staged(stop_radii(cell_counts(assigned), k, include_home), "stop-radii")
     least = 0 if include_home else 1
     occupied = staged(assigned.select(*CELL).distinct(), "occupied")
+    # cells meet in blocks as wide as the step of the ladder that their radius needs
+    step = F.lit(MAX_RADIUS)
+    for radius in reversed(LADDER[:-1]):
+        step = F.when(F.col("stop") <= radius, F.lit(radius)).otherwise(step)
+    stops = stops.withColumn("step", step)
     pairs = None
-    below = 0
-    for radius in LADDER:
-        some = stops.where((F.col("stop") > below) & (F.col("stop") <= radius))
-        below = radius
-        if some.isEmpty():
-            continue
-        near = cell_pairs(some, occupied, radius).where(F.col("ring").between(least, F.col("c_stop"))).select("c_gx", "c_gy", "c_gz", "o_gx", "o_gy", "o_gz")
+    for row in stops.select("step").distinct().orderBy("step").collect():  # the steps of the ladder at most
+        near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"])
+        near = near.where(F.col("ring").between(least, F.col("c_stop"))).select("c_gx", "c_gy", "c_gz", "o_gx", "o_gy", "o_gz")
         pairs = near if pairs is None else pairs.unionByName(near)
     queries = prefixed(assigned, "q_").withColumnsRenamed({f"q_{c}": f"c_{c}" for c in CELL})
     others = prefixed(grid.assign(distinct_places(points, k)), "n_").withColumnsRenamed({f"n_{c}": f"o_{c}" for c in CELL})
