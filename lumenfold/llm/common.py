@@ -18,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_BYTES = 16 << 20
 
 _own: dict[str, str] = {}
+_holders: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,3 +59,11 @@ def let(value: Column, body) -> Column:
 
 def code_points(text: Column) -> Column:
     return F.char_length(text).cast("long")
+
+
+def hold(name: str, clear) -> None:
+    """For a Python worker, which outlives its tasks: the caches of operator `name`, which clear() empties, are in use
+    from now on, and those of other operators are emptied."""
+    for other in [k for k in _holders if k != name]:
+        _holders.pop(other)()
+    _holders[name] = clear

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, staged
+from .common import broadcast_if_small, hold, staged
 
 SHINGLE = 5
 BUCKETS, BITS, MANTISSA = 128, 7, 10
@@ -43,7 +43,7 @@ MARGIN = 0.13
 #: Rows of a unit that one call holds at once, about.
 UNIT_ROWS = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WORD_CACHE = 1_500_000
+_WORD_CACHE = 400_000
 
 
 class _Words(dict):
@@ -55,6 +55,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Empties the worker's cache of words; a function of the module, since workers get copies of mere values."""
+    _words.clear()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -130,6 +135,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (128 bits that name the set; null for an empty one), regs for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("near-duplicates", forget)
         for pdf in batches:
             n, c1, c2, regs = [], [], [], []
             for t in pdf["text"]:
@@ -156,6 +162,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """node, n, regs, shingles for rows of node, text; several texts of a node give several rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("near-duplicates", forget)
         for pdf in batches:
             sets = [shingle_set(t) for t in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "regs": [registers(h).tobytes() for h in sets], "shingles": [h.tobytes() for h in sets]})

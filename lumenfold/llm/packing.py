@@ -27,15 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hold, staged
 
 SEQUENCE, MAX_DOCS = 2048, 2048
 SHARD = 8192
 #: Of tokens, documents and cost in the score. The last two can't bind in the production setting and only break ties.
 WEIGHTS = (1.0, 1e-3, 1e-3)
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces held in a worker's cache of words; beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Words held in a worker's cache of words; beyond it the cache starts anew.
+CACHE = 300_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The splitting pattern of the vocabulary, for texts of SAFE characters.
@@ -71,7 +71,7 @@ class WordEncoder:
         return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE or len(self.parts) > CACHE:
             self.cache.clear()
             self.parts.clear()
         cut = [_PIECES.findall(w) for w in words]
@@ -110,6 +110,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def forget() -> None:
+    """Empties the worker's caches; a function of the module, since workers get copies of mere values."""
+    _encoders.clear()
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         import os
@@ -124,6 +129,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = VOCABULARY
     worker finds in its own installation."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("packing", forget)
         enc = _encoder(tokenizer_path(vocabulary))
         end = bytes(4)
         for pdf in batches:
