@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from lumenfold.llm import mixing, near_duplicates, packing, secrets, string_kernel
 from lumenfold.llm.common import staged
 
-#: A document is rejected if no language scores as much as this, or if it has no letter at all.
-LEAST_SCORE = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a recognized language."""
+    """Keeps documents in one of the languages of the labelled documents; those without a letter are in none."""
     model = string_kernel.train(docs)
-    out = string_kernel.classify(docs, model, docs.columns, "__pred", "__score")
-    return out.where((F.col("__pred") != string_kernel.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__pred", "__score")
+    out = string_kernel.classify(docs, model, docs.columns, "__pred", "__score", reject=True)
+    return out.where(F.col("__pred") != string_kernel.UNKNOWN).drop("__pred", "__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,8 +7,14 @@ LANDMARKS texts span the Nystroem space, in which one ridge regression per langu
 Since the kernel is linear in the presence vectors, a batch is scored as the product of its presence matrix with the
 landmarks' and then with the coefficients; the latter two are multiplied once, at the end of the fit.
 
+The outputs of a text always add up to the sum of the biases, so the best one alone never tells that a text is in none of
+the languages. What does is its lift, (output - bias) / (1 - bias): 0 for a text that has nothing in common with the
+landmarks, about 1 for one of the language. A text is recognized if its lift reaches LIFT_SHARE of what all but
+LIFT_QUANTILE of its language's training texts reach. Texts of fewer than FULL_GRAMS distinct n-grams tell less: their
+limit is lower in proportion.
+
 Defined results: a null text or one without a letter gets `und` and score 0.0; without any labelled text every document
-does; an equal score goes to the first language by code point; an empty table gives no rows; lang, source and doc_id are
+does; with one label only every lift is 1, so all texts with letters are recognized; an equal score goes to the first language by code point; an empty table gives no rows; lang, source and doc_id are
 never read for a prediction.
 """
 
@@ -29,6 +35,7 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE, LANGUAGES = 700, 200
 LANDMARKS, RIDGE = 320, 1e-3
 BATCH = 64
+LIFT_QUANTILE, LIFT_SHARE, FULL_GRAMS = 0.01, 0.45, 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -62,17 +69,32 @@ class Model:
     #: DIMS x languages: the landmarks' presence times the coefficients.
     folded: np.ndarray
     bias: np.ndarray
+    #: Per language, the least lift of a recognized text.
+    least: np.ndarray
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = [presence(texts[i : i + BATCH]) @ self.folded for i in range(0, len(texts), BATCH)]
         return np.concatenate(out) + self.bias if out else np.zeros((0, len(self.languages)))
 
+    def recognized(self, texts: list[str], outputs: np.ndarray) -> np.ndarray:
+        """Whether each text, of these outputs, is in one of the languages."""
+        top = outputs.argmax(axis=1)
+        lift, least = _lift(outputs, self.bias)[np.arange(len(top)), top], self.least[top]
+        out = lift >= least
+        for i in np.flatnonzero(~out):
+            out[i] = lift[i] >= least[i] * min(1, len(buckets(texts[i])) / FULL_GRAMS)
+        return out
+
+
+def _lift(outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.where(bias < 1, (outputs - bias) / np.where(bias < 1, 1 - bias, 1), 1.0)
+
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """texts in an order that doesn't depend on the labels' sizes; landmarks are taken from each language in turn."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
     turns = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
     chosen = sorted((k, i) for own in turns.values() for k, i in enumerate(own))[:landmarks]
     z = presence([texts[i] for _, i in chosen])
@@ -84,7 +106,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     bias = (w[:, None] * y).sum(axis=0) / w.sum()
     left = (k_nm * w[:, None]).T @ k_nm + ridge * k_mm + 1e-9 * np.eye(len(z))
     alpha = np.linalg.solve(left, (k_nm * w[:, None]).T @ (y - bias))
-    return Model(languages, (z.T.astype(np.float64) @ alpha).astype(np.float32), bias)
+    lift = _lift(k_nm @ alpha + bias, bias)
+    top, own = lift.argmax(axis=1), y.argmax(axis=1)
+    # texts that the fit takes for another language say nothing about their label's
+    right = [lift[(top == k) & (own == k), k] for k in range(len(languages))]
+    least = np.asarray([LIFT_SHARE * np.quantile(x, LIFT_QUANTILE, method="lower") if len(x) else 0.0 for x in right])
+    return Model(languages, (z.T.astype(np.float64) @ alpha).astype(np.float32), bias, least)
 
 
 def held_out(docs: DataFrame):
@@ -113,8 +140,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return fit(*training_sample(docs.select("doc_id", "text", "lang"), per_language))
 
 
-def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """`columns` of docs, and two more with the names of pred and score. columns must not hold text unless it is wanted."""
+def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lang_pred", score: str = "score", reject: bool = False) -> DataFrame:
+    """`columns` of docs, and two more with the names of pred and score. columns must not hold text unless it is wanted.
+    With reject, texts in none of the model's languages get UNKNOWN and score 0.0 too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x languages floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,7 +152,11 @@ def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lan
             known = np.asarray([bool(m.languages) and _LETTER.search(t) is not None for t in texts], dtype=bool)
             best, value = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             if known.any():
-                f = m.scores([t for t, k in zip(texts, known, strict=True) if k])
+                lettered = [t for t, k in zip(texts, known, strict=True) if k]
+                f = m.scores(lettered)
+                if reject:
+                    fits = m.recognized(lettered, f)
+                    f, known[known] = f[fits], fits
                 top = f.argmax(axis=1)
                 best[known] = np.asarray(m.languages, dtype=object)[top]
                 value[known] = np.clip((f[np.arange(len(f)), top] + 1) / 2, 0, 1)

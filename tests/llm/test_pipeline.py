@@ -1,4 +1,5 @@
 import os
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -68,3 +69,17 @@ def test_edges_pass_every_stage(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         assert k == len(P.STAGES) - 1 or docs.columns == columns
     assert docs.count() > 0
+
+
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    r = random.Random(21)
+    stems = {
+        "en": "the with thing er wh and ou st ly in".split(), "de": "sch ung keit ä der ein zu ch ver ie".split(), "fr": "eau é oi les que ç pour ment an la".split(), "es": "ción los ñ ja mi ll do que ue as".split(),
+        "cz": "pří liš žlu ťou čký kůň úpěl sta rý vol".split(), "ru": "все лю ди рож да ют ся сво бод ны".split(), "noise": "q w z x k v j y p f g h".split(), "code": ["for(", "i=0;", "i++){", "x->y", "NULL", "*p", "&q", "}\n", "if(", "[i]"],
+    }
+    text = lambda k, n: " ".join("".join(r.choice(stems[k]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(k, r.choice([6, 40, 200])), k, "s") for i, k in enumerate(["en", "de", "fr", "es"] * 60)]
+    planted = [(1000 + i, text(k, r.choice([20, 40, 200])), None, "s") for i, k in enumerate(["cz", "ru", "noise", "code"] * 5)]
+    clean = [(2000 + i, text(k, r.choice([20, 40, 200])), None, "s") for i, k in enumerate(["en", "de", "fr", "es"] * 5)]
+    out = P.language_id(spark, H.table(spark, [*rows, *planted, *clean]), "")
+    assert {x["doc_id"] for x in out.collect()} == {d for d, *_ in [*rows, *clean]}
