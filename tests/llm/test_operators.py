@@ -97,6 +97,27 @@ def test_register_estimates():
         assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < near_duplicates.MARGIN
 
 
+def test_pair_of_a_low_estimate_is_still_verified(spark):
+    # a longer copy whose own shingles are picked so that far more registers differ than its Jaccard value says
+    one = [f"w{i}" for i in range(604)]
+    two, size = list(one), 600
+    regs = lambda w: near_duplicates.registers(near_duplicates.shingle_set(" ".join(w)))
+    first = now = regs(one)
+    for k in range(105):
+        for c in range(400):
+            after = regs([*two, f"x{k}-{c}"])
+            new = np.flatnonzero((after != now) & (now == first))
+            if (after[:4] == first[:4]).all() and ((now != first).sum() >= 44 or len(new)):
+                break
+        two.append(f"x{k}-{c}")
+        now = after
+    assert 100 * size >= 85 * (size + 105) and (now[:4] == first[:4]).all()
+    est = near_duplicates.estimates(first[None], now[None], np.array([size]), np.array([size + 105]))[0, 0]
+    assert 0.6 < est < 0.72
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.components(H.table(spark, [(1, " ".join(one)), (2, " ".join(two))])).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (2, "other words stand in this one"), (None, "a b c d e f g"), (2, "other words stand in this one")]
     kept = near_duplicates.deduplicated(H.clashing(H.table(spark, rows)))
