@@ -412,6 +412,17 @@ def test_boilerplate_goes_and_unique_runs_stay(spark):
     assert all(r["text"].startswith(shared) for r in html_text.extracted(two).collect())
 
 
+def test_boilerplate_goes_whatever_the_size_of_the_host(spark):
+    notice = "sign up for our weekly letter and never miss a story again"
+    want = texts(300, 17, 25)
+    for n in (60, 300):
+        rows = [(i, "http://x.org/", f"<div>{t}</div>" + (f"<div>{notice}</div>" if i < 10 else "")) for i, t in enumerate(want[:n])]
+        # copies of one page are no repetition, and all get its text
+        rows += [(1000 + i, "http://x.org/", f"<div>{want[20]}</div>") for i in range(5)]
+        got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(rows, PAGES), shard=20).collect()}
+        assert got == {**dict(enumerate(want[:n])), **{1000 + i: want[20] for i in range(5)}}
+
+
 def test_suffix_runs_against_plain_version():
     r = random.Random(1)
     pages = [[r.choice("abcd") for _ in range(r.randint(0, 60))] for _ in range(12)]
