@@ -400,6 +400,11 @@ def test_html_cases(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+def test_html_names_in_camel_case():
+    page = "<article><p>a</p><div class='postComments'>c</div><div id=signUp>s</div><p class='adviceText'>b</p></article>"
+    assert [t for z, t in html_text.blocks(page) if z == html_text.ARTICLE] == ["a", "b"]
+
+
 def test_boilerplate_goes_and_unique_runs_stay(spark):
     foot = "all rights reserved by the owners of this fine site since long ago"
     rows = [(i, "http://x.org/", f"<div>{t}</div><div>{foot}</div>") for i, t in enumerate(texts(30, 7, 25))]
