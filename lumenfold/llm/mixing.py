@@ -10,8 +10,8 @@ by sums over ranges of the hash (RADIX_BITS at a time) and a window over one las
 large, is ordered as a whole.
 
 Defined results: a null text or a text without words has size 0 and is taken 0 times 0 words; null sources form one
-source, last in order; a source without words has target 0; an empty table gives no rows; rows that agree in doc_id and
-size share their place in the order, so all or none of them get the fractional repetition. Columns other than doc_id,
+source, last in order; a source without words has target 0; an empty table gives no rows; of rows that agree in
+source, doc_id and size, as many get the fractional repetition as its rest holds, by a hash of their texts in `mixed`. Columns other than doc_id,
 text and source are not read here; `mixed` carries them along.
 """
 
@@ -79,8 +79,9 @@ def _cut(rows: DataFrame, rest: str, shift: int, label: str) -> DataFrame:
 
 
 def fractional_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """A row per source: sk, source_size, target, whole, below, last. Documents with a hash under `below`, or with
-    (h, doc_id, size) up to `last`, get one repetition more than `whole`. sizes must be cheap to read more than once."""
+    """A row per source: sk, source_size, target, whole, below, last, tied, tied_taken. Documents with a hash under
+    `below`, or with (h, doc_id, size) before `last`, and tied_taken of the `tied` rows at `last` get one repetition more than
+    `whole`. sizes must be cheap to read more than once."""
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = staged(targets.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")), "mix-targets")
     # two doubles a source and a name: small unless there are very many sources
@@ -92,15 +93,31 @@ def fractional_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     second = staged(_cut(rows, "rest", HASH_BITS - 2 * RADIX_BITS, "b"), "mix-cut-b")
     rows = rows.join(broadcast_if_small(second, 256), "sk").where(F.shiftright("h", HASH_BITS - 2 * RADIX_BITS) == F.col("b.range"))
     before = F.sum("size").over(Window.partitionBy("sk").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    taken = rows.withColumn("before", before).where(2 * F.col("before") + F.col("size") <= 2 * F.col("b.left"))
-    last = taken.groupBy("sk").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
+    taken = rows.withColumn("before", before).withColumn("in", (2 * F.col("before") + F.col("size") <= 2 * F.col("b.left")).cast("long"))
+    ties = taken.groupBy("sk", F.struct("h", "doc_id", "size").alias("last")).agg(F.count("*").alias("tied"), F.sum("in").alias("tied_taken"))
+    last = ties.where("tied_taken > 0").groupBy("sk").agg(F.max(F.struct("last", "tied", "tied_taken")).alias("l")).select("sk", "l.*")
     below = F.coalesce(F.shiftleft(F.col("b.range"), HASH_BITS - 2 * RADIX_BITS), F.lit(1 << HASH_BITS))
     cuts = targets.join(second, "sk", "left").join(last, "sk", "left")
-    return cuts.select("sk", "source_size", "target", "whole", below.alias("below"), "last")
+    return cuts.select("sk", "source_size", "target", "whole", below.alias("below"), "last", "tied", "tied_taken")
 
 
-def _repetitions(h: Column, doc_id: Column, size: Column) -> Column:
-    more = (h < F.col("below")) | F.coalesce(F.struct(h.alias("h"), doc_id.alias("doc_id"), size.alias("size")) <= F.col("last"), F.lit(False))
+def _key(h: Column, doc_id: Column, size: Column) -> Column:
+    return F.struct(h.alias("h"), doc_id.alias("doc_id"), size.alias("size"))
+
+
+def _placed(rows: DataFrame, cuts: DataFrame, key: Column, order: Column) -> DataFrame:
+    """rows joined with cuts, and __place: the number of a row among those at `last`, where not all of these are taken."""
+    rows = rows.join(broadcast_if_small(cuts, 256), "sk")
+    if cuts.where("tied > tied_taken").isEmpty():
+        return rows.withColumn("__place", F.lit(0))
+    split = (F.col("tied") > F.col("tied_taken")) & key.eqNullSafe(F.col("last"))
+    split = F.coalesce(split, F.lit(False))
+    number = F.row_number().over(Window.partitionBy("sk").orderBy(order))
+    return rows.where(~split).withColumn("__place", F.lit(0)).unionByName(rows.where(split).withColumn("__place", number))
+
+
+def _repetitions(h: Column, key: Column) -> Column:
+    more = (h < F.col("below")) | F.coalesce((key <= F.col("last")) & (F.col("__place") <= F.col("tied_taken")), F.lit(False))
     return F.col("whole") + F.when((F.col("target") > F.col("whole") * F.col("source_size")) & more, 1).otherwise(0)
 
 
@@ -114,16 +131,19 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, bud
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     sizes, cuts = mix_plan(docs, **how)
-    out = sizes.join(broadcast_if_small(cuts, 256), "sk")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _repetitions(F.col("h"), F.col("doc_id"), F.col("size"))).alias("taken"))
+    key = _key(F.col("h"), F.col("doc_id"), F.col("size"))
+    out = _placed(sizes, cuts, key, F.lit(0))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _repetitions(F.col("h"), key)).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; documents of size 0 stay once."""
     _, cuts = mix_plan(docs, seed=seed, **how)
     rows = docs.select(F.struct("*").alias("__row"), source_key(F.col("source")).alias("sk"), word_count(F.col("text")).alias("__size"))
-    rows = rows.join(broadcast_if_small(cuts, 256), "sk")
-    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(_repetitions(order_hash(F.col("__row.doc_id"), seed), F.col("__row.doc_id"), F.col("__size")))
+    h = order_hash(F.col("__row.doc_id"), seed)
+    key = _key(h, F.col("__row.doc_id"), F.col("__size"))
+    rows = _placed(rows, cuts, key, F.xxhash64("__row.text"))
+    times = F.when(F.col("__size") == 0, F.lit(1)).otherwise(_repetitions(h, key))
     return rows.select("__row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("__n")).select("__row.*")
 
 

@@ -250,6 +250,13 @@ def test_mixing_targets_and_sums(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_mixing_cuts_inside_ties(spark, doc_id):
+    docs = H.table(spark, [(doc_id, "one two three four", None, "a")] * 1000)
+    assert sum(x["taken"] for x in mixing.mix_documents(docs).collect()) == 6000
+    assert mixing.mixed(H.clashing(docs)).count() == 1500
+
+
 def test_mixed_rows_follow_the_plan(spark):
     rows = [(i, " ".join(["w"] * (i % 20 + 1)), None, "ab"[i % 2]) for i in range(200)]
     docs = H.table(spark, rows)
