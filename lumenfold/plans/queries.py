@@ -13,6 +13,7 @@ from ..schema import FLOAT_CLOUD_SQL, INT_CLOUD_SQL, float_cloud, int_cloud, typ
 from ..sources import text
 from ..sources.generator import generate_cloud
 from . import benchmark
+from .staging import new_path
 
 #: Parameters of the headline queries.
 K, CLUSTERS, ROUNDS, UNDERFULL = 16, 16, 5, 10
@@ -270,9 +271,7 @@ _add("generate_cloud_float", lambda spark, sf_dir: generate_cloud(spark, 2000, "
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .staging import shared_path
-
-    path = shared_path(spark, "text")
+    path = new_path(spark, "text")
     text.write_cloud(int_cloud(spark, sf_dir), path, K, ROUNDS)
     return text.read_cloud_lines(spark, path)
 

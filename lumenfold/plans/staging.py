@@ -1,4 +1,7 @@
-"""Tables between the jobs of an operator, in the folder that the cluster shares."""
+"""Tables between the jobs of an operator, in the folder that the cluster shares.
+
+Nothing deletes them while the session lives, since a result that is read late still reads them; `clear` does, or whoever
+cleans spark.checkpoint.dir. Where that setting is unset, as in tests, they lie in a folder that goes with the process."""
 
 from __future__ import annotations
 
@@ -16,24 +19,42 @@ BROADCAST_BYTES = 16 << 20
 _own: dict[str, str] = {}
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: one of this process below spark.checkpoint.dir. Where that is unset, a
+    local folder will do for a local master; on a cluster its machines would each see their own files, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if "dir" not in _own:
             _own["dir"] = tempfile.mkdtemp(prefix="lumenfold-")
             atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
         base = f"file://{_own['dir']}"
-    return f"{base.rstrip('/')}/lumenfold-core/{label}-{uuid.uuid4().hex[:12]}"
+    if "run" not in _own:
+        _own["run"] = uuid.uuid4().hex[:12]
+    return f"{base.rstrip('/')}/lumenfold-{_own['run']}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has staged. Results that were not written or collected yet can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit in limit bytes, else as it is, for a shuffled join."""
+    """df with a broadcast hint if its counted rows fit in limit bytes, else df as it is, for a shuffled join.
+    df should be cheap to count, such as a staged table."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
