@@ -5,12 +5,15 @@ one. Pieces are dealt evenly into shards of about SHARD pieces. Inside a shard t
 each goes to the open sequence, among those that can hold it under every constraint (tokens, documents, attention cost
 as the sum of squared lengths), that scores best: `residual`: the smallest weighted norm of what would be left;
 `dot`: the largest weighted dot product of the piece's needs and the capacities still free. A piece that fits nowhere
-opens a sequence. In the production setting only tokens can bind: 2048 pieces and a cost of 2048 * 2048 can never be
-exceeded within 2048 tokens, so the result uses as few sequences as tokens allow.
+opens a sequence. In the production setting capacities are as wide as as-few-sequences-as-can-be asks: 2048 documents and
+a cost of 2048 * 2048 can never be exceeded within 2048 tokens. Documents and cost still decide which sequence a piece
+joins, by their weights: of sequences with about as many tokens left, one that holds few long pieces is filled up before
+one that holds many short ones.
 
-Token ids come from a public vocabulary. A text made of the characters of SAFE is split at white space and every
-distinct word is encoded once per worker, which gives the ids that encoding the whole text gives, because no token
-spans white space there; any other text goes to the tokenizer whole.
+Token ids come from a public vocabulary. The words of texts without odd characters (_ODD) are numbered per slice of
+texts, distinct words are cut into parts, every distinct part is encoded once and its ids are put in place by number. This
+gives the ids that encoding the whole text gives, because no token spans white space or parts there; any other text goes
+to the tokenizer whole. A task remembers the ids of at most KNOWN parts and forgets them when it ends.
 
 Defined results: a null text packs as an empty one (the end id alone); rows that repeat a doc_id are packed once each;
 an empty table gives no rows; columns other than doc_id and text are not read.
@@ -18,32 +21,37 @@ an empty table gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, staged
+from .common import gathered, numbered_words, released, staged, text_slices
 
 SEQUENCE, MAX_DOCS = 2048, 2048
 SHARD = 8192
-#: Of tokens, documents and cost in the score. The last two can't bind in the production setting and only break ties.
-WEIGHTS = (1.0, 1e-3, 1e-3)
+#: Of tokens, documents and cost in the score.
+WEIGHTS = (1.0, 0.25, 0.25)
 VOCABULARY = "word_bpe_49k.json"
-#: Words held in a worker's cache of words; beyond it the cache starts anew.
-CACHE = 300_000
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: The splitting pattern of the vocabulary, for texts of SAFE characters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: ASCII without control characters other than line ends and tabs, Latin-1 letters and a few marks that normalization
-#: and lower-casing treat one character at a time.
-_UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-§©«¬°±¶·»¿-ÿŒœŸ–—‘’“”…€]")
-_SPECIAL = re.compile(r"<\|(?:start|end)oftext\|>")
+#: Fixed value: the splitting pattern of the vocabulary.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Fixed rule of byte-level vocabularies: a byte that Latin-1 prints stands for itself, the others for characters from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+#: Parts whose ids a task remembers; beyond them it begins anew.
+KNOWN = 400_000
+#: Beyond ASCII without control characters other than line ends and tabs, Latin-1 letters and a few marks that
+#: normalization and lower-casing treat one character at a time; and special tokens.
+_ODD = "[^\t\n\r\x20-\x7e¡-§©«¬°±¶·»¿-ÿŒœŸ–—‘’“”…€]|<\\|(?:start|end)oftext\\|>"
 
 
 def tokenizer_path(name: str = VOCABULARY) -> str:
@@ -53,99 +61,73 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """ids(texts) as little-endian unsigned 32-bit bytes per text."""
+    """Token ids of texts, as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.words = Tokenizer(self.full.model)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.full.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.cache) > CACHE or len(self.parts) > CACHE:
-            self.cache.clear()
-            self.parts.clear()
-        cut = [_PIECES.findall(w) for w in words]
-        new = list({p for ps in cut for p in ps} - self.parts.keys())
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = np.asarray(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1  # one last token for each part
-            raw, lo = ids.tobytes(), 0
-            for p, hi in zip(some, (4 * ends).tolist(), strict=True):
-                self.parts[p] = raw[lo:hi]
-                lo = hi
-        part = self.parts
-        for w, ps in zip(words, cut, strict=True):
-            self.cache[w] = part[ps[0]] if len(ps) == 1 else b"".join([part[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(t) or _SPECIAL.search(t) else t.lower().split() for t in texts]
-        new = list({w for ws in split if ws for w in ws}.difference(self.cache))
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        out = []
-        for t, ws in zip(texts, split, strict=True):
-            if ws is None:
-                out.append(self.whole(t))
-                continue
-            try:
-                out.append(b"".join(map(get, ws)))
-            except KeyError:  # the cache began anew meanwhile
-                self._learn([w for w in set(ws) if w not in self.cache])
-                out.append(b"".join(map(get, ws)))
-        return out
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def forget() -> None:
-    """Empties the worker's caches; a function of the module, since workers get copies of mere values."""
-    _encoders.clear()
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        self.model = self.full.model
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, part: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES))]
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """Where begin and size hold each part."""
+        if len(self.known) + len(parts) > KNOWN:
+            self.forget()
+        new = [p for p in parts if p not in self.known]
+        ids = [self._ids(p) for p in new]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(new))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype="<u4", count=int(size.sum()))])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Per text, its ids."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        words, number, ends = numbered_words(pc.utf8_lower(pc.if_else(odd, "", texts)))
+        parts, part, part_ends = numbered_words(pc.replace_substring_regex(words, _PARTS, r"\0 "))
+        at = self._numbers(parts.to_pylist())[part]
+        of_words, after = gathered(self.flat, self.begin[at], self.size[at])
+        word_end = after[part_ends]
+        word_size = np.diff(word_end, prepend=0)
+        ids, after = gathered(of_words, (word_end - word_size)[number], word_size[number])
+        lo = 0
+        for i, hi in enumerate(after[ends].tolist()):
+            yield np.asarray(self.full.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4") if odd[i].as_py() else ids[lo:hi]
+            lo = hi
 
 
 def pieces(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32. vocabulary: a file of the public tokenizers, which every
     worker finds in its own installation."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hold("packing", forget)
-        enc = _encoder(tokenizer_path(vocabulary))
-        end = bytes(4)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            rows = []
-            for lo in range(0, len(texts), 64):
-                for doc_id, ids in zip(pdf["doc_id"].iloc[lo : lo + 64], enc.encode(texts[lo : lo + 64]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(doc_id, k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)])) for k, s in enumerate(range(0, n, length))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"piece": "int32"}) if len(out) else out
-
-    # doc_id as text keeps nulls and large ids exact through pandas
-    narrow = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return narrow.mapInPandas(cut, SCHEMA.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+    @released
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = WordEncoder(tokenizer_path(vocabulary)), bytes(4)
+        for batch in batches:
+            at = 0
+            for texts in text_slices(batch.column("text")):
+                rows = []
+                for i, ids in enumerate(enc.encode(texts), at):
+                    raw = ids.tobytes() + end
+                    n = len(raw) // 4
+                    rows += [(i, k, s, min(length, n - s), zlib.crc32(raw[4 * s : 4 * (s + length)])) for k, s in enumerate(range(0, n, length))]
+                at += len(texts)
+                row, *columns = zip(*rows, strict=True)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=NAMES)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, SCHEMA)
 
 
 def pack(lengths: np.ndarray, capacity=(SEQUENCE, MAX_DOCS, SEQUENCE * SEQUENCE), weights=WEIGHTS, score: str = "residual") -> tuple[np.ndarray, np.ndarray]:
