@@ -87,14 +87,3 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
-
-
-_holders: dict[str, object] = {}
-
-
-def hold(name: str, clear) -> None:
-    """For a Python worker: the caches of operator `name`, which clear() empties, are in use from now on, and those of
-    other operators are emptied."""
-    for other in [k for k in _holders if k != name]:
-        _holders.pop(other)()
-    _holders[name] = clear

@@ -2,8 +2,8 @@
 
 The kernel of two texts is the number of distinct byte n-grams (n from 1 to 3, lower-cased UTF-8, hashed into DIMS
 buckets) that both hold, over the geometric mean of how many each holds. A bounded sample of labelled texts is the only
-thing that reaches the driver: PER_LANGUAGE texts of each of at most LANGUAGES labels, chosen by hash, whole. Of these,
-LANDMARKS texts span the Nystroem space, in which one ridge regression per language (one against the rest) is solved.
+thing that reaches the driver, as the presence bits of whole texts, DIMS / 8 bytes each: PER_LANGUAGE texts of each of at
+most LANGUAGES labels, chosen by hash, and SAMPLE in all. Of these, LANDMARKS texts span the Nystroem space, in which one ridge regression per language (one against the rest) is solved.
 Since the kernel is linear in the presence vectors, a batch is scored as the product of its presence matrix with the
 landmarks' and then with the coefficients; the latter two are multiplied once, at the end of the fit.
 
@@ -27,16 +27,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import released
+
 DIMS = 1 << 14
 ORDERS = (1, 2, 3)
-PER_LANGUAGE, LANGUAGES = 700, 200
+PER_LANGUAGE, LANGUAGES, SAMPLE = 700, 200, 1 << 15
 LANDMARKS, RIDGE = 320, 1e-3
 BATCH = 64
 LIFT_QUANTILE, LIFT_SHARE, FULL_GRAMS = 0.01, 0.45, 64
 UNKNOWN = "und"
+#: Letters, and numerals such as superscripts, which are none.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -53,16 +57,23 @@ def buckets(text: str) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """A row per text of 0 or 1 / sqrt(number of its buckets): its products are the normalized kernel."""
-    out = np.zeros((len(texts), DIMS), dtype=np.float32)
-    for i, t in enumerate(texts):
-        at = buckets(t)
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def presence_of_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """A row per set of buckets, of 0 or 1 / sqrt(size of the set): its products are the normalized kernel."""
+    out = np.zeros((len(sets), DIMS), dtype=np.float32)
+    for i, at in enumerate(sets):
         if len(at):
             out[i, at] = 1 / np.sqrt(len(at))
     return out
 
 
+def presence(texts: list[str]) -> np.ndarray:
+    return presence_of_sets([buckets(t) for t in texts])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -91,14 +102,19 @@ def _lift(outputs: np.ndarray, bias: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """texts in an order that doesn't depend on the labels' sizes; landmarks are taken from each language in turn."""
+    return fit_sets([buckets(t) for t in texts], labels, landmarks, ridge)
+
+
+def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """The texts' buckets in an order that doesn't depend on the labels' sizes; landmarks are taken from each language in
+    turn."""
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((DIMS, 0), np.float32), np.zeros(0), np.zeros(0))
     turns = {lang: [i for i, x in enumerate(labels) if x == lang] for lang in languages}
     chosen = sorted((k, i) for own in turns.values() for k, i in enumerate(own))[:landmarks]
-    z = presence([texts[i] for _, i in chosen])
-    k_nm = np.concatenate([presence(texts[i : i + BATCH]) @ z.T for i in range(0, len(texts), BATCH)]).astype(np.float64)
+    z = presence_of_sets([sets[i] for _, i in chosen])
+    k_nm = np.concatenate([presence_of_sets(sets[i : i + BATCH]) @ z.T for i in range(0, len(sets), BATCH)]).astype(np.float64)
     k_mm = (z @ z.T).astype(np.float64)
     y = np.where(np.asarray(labels)[:, None] == np.asarray(languages)[None, :], 1.0, -1.0)
     # languages weigh the same, whatever their share of the sample
@@ -118,26 +134,44 @@ def held_out(docs: DataFrame):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most per_language whole texts of each of the LANGUAGES most frequent labels, from documents that are not held
-    out; those first by a hash of doc_id."""
+def _bits(texts: DataFrame) -> DataFrame:
+    """lang, place, bits (DIMS / 8 bytes: the buckets of the text) for rows of lang, place, text."""
+
+    @released
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for t in batch.column("text"):
+                own = np.zeros(DIMS, dtype=bool)
+                own[buckets(t.as_py())] = True
+                bits.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(bits, pa.binary())], names=["lang", "place", "bits"])
+
+    return texts.select("lang", "place", "text").mapInArrow(run, "lang string, place double, bits binary")
+
+
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[np.ndarray], list[str]]:
+    """The buckets of at most per_language whole texts of each of the LANGUAGES most frequent labels, SAMPLE in all, from
+    documents that are not held out; those first by a hash of doc_id."""
     own = docs.where(~held_out(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return [], []
+    per_language = min(per_language, SAMPLE // len(counts))
     place = F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30)) / float(1 << 30)
     keep = F.lit(False)
     for r in counts:
         # a little more than wanted, so that the driver can cut to the exact number
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("__p") < min(1.0, 1.3 * per_language / r["n"])))
-    picked = own.select("lang", "text", place.alias("__p"), "doc_id").where(keep)
-    picked = picked.withColumn("__k", F.row_number().over(Window.partitionBy("lang").orderBy("__p", "doc_id"))).where(F.col("__k") <= per_language)
-    rows = sorted(picked.collect(), key=lambda r: (r["__p"], r["lang"], r["text"]))
-    return [r["text"] for r in rows], [r["lang"] for r in rows]
+        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("place") < min(1.0, 1.3 * per_language / r["n"])))
+    picked = own.select("lang", "text", place.alias("place"), "doc_id").where(keep)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
+    rows = _bits(picked.withColumn("k", first).where(F.col("k") <= per_language)).collect()
+    rows = sorted(rows, key=lambda r: (r["place"], r["lang"], bytes(r["bits"])))
+    return [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8))) for r in rows], [r["lang"] for r in rows]
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    return fit(*training_sample(docs.select("doc_id", "text", "lang"), per_language))
+    return fit_sets(*training_sample(docs.select("doc_id", "text", "lang"), per_language))
 
 
 def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lang_pred", score: str = "score", reject: bool = False) -> DataFrame:
@@ -145,11 +179,12 @@ def classify(docs: DataFrame, model: Model, columns: list[str], pred: str = "lan
     With reject, texts in none of the model's languages get UNKNOWN and score 0.0 too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x languages floats
 
+    @released
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            known = np.asarray([bool(m.languages) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+            known = np.asarray([bool(m.languages) and has_letter(t) for t in texts], dtype=bool)
             best, value = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
             if known.any():
                 lettered = [t for t, k in zip(texts, known, strict=True) if k]
