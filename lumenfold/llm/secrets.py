@@ -6,7 +6,7 @@ intersected within each alternative of a query and united over its alternatives;
 and only these texts meet the rule's expression. Rules without mandatory trigrams, such as a run of hexadecimal digits,
 scan every text.
 
-Positions come from the lengths of the matches and of the texts between them, in code points, end exclusive.
+Only texts that hold the rarest trigram of some alternative get postings. Positions come from the lengths of the matches and of the texts between them, in code points, end exclusive.
 
 Rules besides the three base ones add spans: private_key, github, slack, jwt.
 
@@ -49,6 +49,10 @@ MORE = (
 )
 RULES = BASE + MORE
 BLOCK = 4096
+#: Characters by falling frequency; a rough order is enough.
+COMMON = "etaoinshrdlucmfwypvbgkjqxz"
+#: Matches of a text that are summed up together.
+RUN = 64
 MASK = "[secret]"
 
 
@@ -56,12 +60,24 @@ def _key(doc_id: Column) -> Column:
     return F.xxhash64(doc_id)
 
 
-def index(docs: DataFrame, rules=RULES, block: int = BLOCK) -> DataFrame:
-    """trigram, block, postings (keys of the documents that hold it)."""
-    wanted = sorted({t for r in rules for a in query_of(r.pattern) or () for t in a})
-    low = docs.select(_key(F.col("doc_id")).alias("key"), F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
-    pairs = staged(low.select("key", held.alias("held")).where(F.size("held") > 0).select("key", F.explode("held").alias("trigram")), "secret-pairs")
+def _gate(trigrams: frozenset[str]) -> str:
+    """The trigram of the rarest characters, of those that an alternative asks for together."""
+    rank = lambda c: COMMON.find(c) if c in COMMON else len(COMMON)
+    return max(sorted(trigrams), key=lambda t: sum(map(rank, t)))
+
+
+def index(docs: DataFrame, rules=RULES, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """trigram, block, postings (keys of the documents that hold it). Unless whole, documents that hold no alternative's
+    gate, the rarest of its trigrams, are left out: they can't be candidates of these rules. whole: an index that any rules
+    with these trigrams can use."""
+    asked = [a for r in rules for a in query_of(r.pattern) or ()]
+    wanted, gates = sorted({t for a in asked for t in a}), sorted({_gate(a) for a in asked})
+    rows = docs.select(_key(F.col("doc_id")).alias("key"), F.lower("text").alias("low"))
+    if not whole:
+        rows = rows.where(let(F.col("low"), lambda low: F.exists(F.array(*[F.lit(g) for g in gates]), lambda g: F.contains(low, g))) if gates else F.lit(False))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted])) if wanted else F.array().cast("array<string>")
+    # exploded as it is: a filter on it would compute it a second time
+    pairs = staged(rows.select("key", F.explode(held).alias("trigram")), "secret-pairs")
     blocks = max(1, pairs.count() // (block * 4))
     return pairs.groupBy("trigram", F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_set("key").alias("postings"))
 
@@ -97,14 +113,24 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     )
 
     def walk(c: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + c["gap"][i]
-            end = start + c["match"][i]
-            span = F.array(F.struct(start.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-            return F.struct(end.alias("at"), F.when(c["value"][i] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-        init = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(c["match"]) - 1), init, step, lambda acc: acc["out"])
+        n = F.size(c["match"])
+        total = lambda array, at, count: F.aggregate(F.slice(array, at + 1, count), F.lit(0).cast("long"), lambda a, x: a + x)
+        # where runs of RUN matches begin, so that no place is summed up from the text's first match on
+        runs = F.aggregate(
+            F.sequence(F.lit(0), ((n - 1) / RUN).cast("int")),
+            F.array(F.lit(0).cast("long")),
+            lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + total(c["gap"], r * RUN, F.lit(RUN)) + total(c["match"], r * RUN, F.lit(RUN)))),
+        )
+
+        def place(runs: Column) -> Column:
+            def span(i: Column) -> Column:
+                r = (i / RUN).cast("int")
+                start = runs[r] + total(c["gap"], r * RUN, i - r * RUN + 1) + total(c["match"], r * RUN, i - r * RUN)
+                return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + c["match"][i]).alias("end"), F.lit(rule.kind).alias("kind"))
+
+            return F.transform(F.filter(F.sequence(F.lit(0), n - 1), lambda i: c["value"][i] >= rule.least), span)
+
+        return let(runs, place)
 
     return F.when(F.regexp(text, pattern), let(cut, walk)).otherwise(F.array().cast(kind))
 
