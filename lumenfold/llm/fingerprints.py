@@ -8,7 +8,10 @@ differ locates the edit (`differing`); their likeness is twice the number of com
 distinct leaves.
 
 The next document by ascending doc_id comes without a sort of the whole table: ids are cut into ranges of about RANGE
-documents, a window orders each range, and a copy of the next range's first document closes it.
+documents, a window orders each range, and a copy of the next range's first document closes it. The ranges' borders are
+quantiles of a sample of the ids, BORDERS at most, with even steps between them, so that neither wide gaps nor 64-bit hashes
+as ids fill a range; an id that fills more than a range by itself is cut by the hash of the text. Trees are built before
+documents meet, once for each text and edited text.
 
 Defined results: a null text counts as empty; an empty text has one section without paragraphs, is like an empty text (1.0) and
 like no other (0.0); documents without a doc_id come last, by a hash of their text; rows that repeat a doc_id follow one
@@ -25,6 +28,7 @@ from .common import broadcast_if_small, let, staged
 
 MOST = 400
 RANGE, SEGMENT = 1024, 4096
+BORDERS, SAMPLE = 1024, 1 << 16
 BLOCK = rf"[^.!?]{{0,{MOST}}}+[.!?]+\x20?|[^.!?]{{1,{MOST}}}"
 SHORT = 8
 
@@ -67,15 +71,56 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.array_compact(found))
 
 
+def _hash_part(h: str, parts: int) -> Column:
+    """0 .. parts - 1, ascending with h."""
+    return F.expr(f"(shiftright({h}, 40) + {1 << 23}) * {parts} div {1 << 24}")
+
+
+def _ranges(docs: DataFrame) -> Column:
+    """A number that ascends with (doc_id with nulls last, h), the same for about RANGE rows, of columns doc_id and h."""
+    count, unnamed = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    named = count - unnamed
+    wanted = max(1, named // RANGE)
+    borders = min(BORDERS, wanted)
+    ids = docs.select("doc_id").where("doc_id is not null")
+    ids = sorted(r[0] for r in ids.sample(min(1.0, SAMPLE / max(named, 1)), 1).collect()) if borders > 1 else []  # about SAMPLE
+    at = [ids[k * len(ids) // borders] for k in range(1, borders)] if ids else []
+    low = sorted(set(at))
+    # ids that hold several borders, and how many
+    often = {x: at.count(x) for x in low if at.count(x) > 1}
+    steps = max(1, -(-wanted // borders), *[n + 3 for n in often.values()]) if often else max(1, -(-wanted // borders))
+    null_parts = max(1, unnamed // RANGE)
+    unnamed_at = F.lit((len(low) + 1) * steps) + _hash_part("h", null_parts)
+    if not low:
+        named_at = F.lit(0).cast("long")
+    else:
+        # the number of borders at or below the id, by two short lists
+        width = max(1, int(len(low) ** 0.5))
+        cut = [low[i : i + width] for i in range(0, len(low), width)]
+        literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+        below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+        rows = F.array(*[literal(c) for c in cut])
+        border = let(below(literal([c[0] for c in cut])), lambda r: F.when(r == 0, F.lit(0)).otherwise((r - 1) * width + below(F.get(rows, r - 1))))
+        ends = literal(low)
+
+        def step(k: Column) -> Column:
+            lo, hi = F.get(ends, F.greatest(k - 1, F.lit(0))).cast("double"), F.get(ends, F.least(k, F.lit(len(low) - 1))).cast("double")
+            even = F.when((k == 0) | (k == len(low)) | (hi <= lo), F.lit(0)).otherwise(((F.col("doc_id").cast("double") - lo) / (hi - lo) * steps).cast("int"))
+            even = F.least(F.greatest(even, F.lit(0)), F.lit(steps - 1))
+            for x, n in often.items():
+                own = F.when(F.col("doc_id") == x, _hash_part("h", n + 1).cast("int")).otherwise(F.lit(n + 1))
+                even = F.when(k == low.index(x) + 1, own).otherwise(even)
+            return k.cast("long") * steps + even
+
+        named_at = let(border, step)
+    return F.when(F.col("doc_id").isNull(), unnamed_at).otherwise(named_at)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the rows of docs in their ranges, each with its successor's text."""
-    span = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, count = span[0] or 0, span[1] or 0, max(span[2], 1)
-    width = max(1, (high - low + 1) * RANGE // count)
-    last = (high - low) // width + 1
+    """doc_id, text, fp, next_text, next_fp: the rows of docs in their ranges, with fingerprints, and each one's successor's."""
     text = F.coalesce("text", F.lit(""))
-    place = F.when(F.col("doc_id").isNull(), last + F.pmod(F.xxhash64(text), F.lit(max(1, count // RANGE)))).otherwise(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"))
-    rows = docs.select(place.cast("long").alias("range"), "doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = rows.select(_ranges(docs).cast("long").alias("range"), "doc_id", "h", "text")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h"))
     heads = rows.groupBy("range").agg(first.alias("head")).withColumn("segment", F.expr(f"range div {SEGMENT}"))
     heads = staged(heads, "next-heads")
@@ -90,9 +135,10 @@ def with_next(docs: DataFrame) -> DataFrame:
         (F.col("own") == F.col("range")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")),
     )
     closing = closing.dropDuplicates(["closes"]).select(F.col("closes").alias("range"), "doc_id", "h", "text", F.lit(1).alias("closing"))
-    every = rows.withColumn("closing", F.lit(0)).unionByName(closing)
-    order = Window.partitionBy("range").orderBy("closing", "doc_id", "h")
-    return every.withColumn("next_text", F.lead("text").over(order)).where("closing = 0").select("doc_id", "text", "next_text")
+    every = rows.withColumn("closing", F.lit(0)).unionByName(closing).withColumn("fp", fingerprint(F.col("text")))
+    order = Window.partitionBy("range").orderBy("closing", F.col("doc_id").isNull(), "doc_id", "h")
+    every = every.withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)})
+    return every.where("closing = 0").select("doc_id", "text", "fp", "next_text", "next_fp")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -101,11 +147,34 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     part = F.expr("char_length(text) div 2").cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
-    rows = rows.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    of = lambda r: F.struct(
-        F.sha2(r["edited"].cast("binary"), 256).alias("edited_sha256"), fingerprint(r["text"]).alias("fingerprint"), fingerprint(r["edited"]).alias("edited_fingerprint"), fingerprint(r["next_text"]).alias("next_fingerprint")
-    )
-    rows = rows.select("doc_id", "n_chars", let(F.struct("text", "next_text", "edited"), lambda r: let(of(r), lambda p: F.struct(
-        p["edited_sha256"].alias("edited_sha256"), p["fingerprint"].alias("fingerprint"), p["edited_fingerprint"].alias("edited_fingerprint"),
-        likeness(p["fingerprint"], p["edited_fingerprint"]).alias("near_edited"), likeness(p["fingerprint"], p["next_fingerprint"]).alias("near_next")))).alias("p"))
-    return rows.select("doc_id", "n_chars", "p.*")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), fingerprint(e).alias("fp"))).alias("e"))
+    near = let(F.struct("fp", "next_fp", F.col("e.fp").alias("edited")), lambda p: F.struct(likeness(p["fp"], p["edited"]).alias("edited"), likeness(p["fp"], p["next_fp"]).alias("next")))
+    rows = rows.withColumn("near", near)
+    return rows.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), F.col("fp").alias("fingerprint"), F.col("e.fp").alias("edited_fingerprint"), F.col("near.edited").alias("near_edited"), F.col("near.next").alias("near_next"))
+
+
+def _oracle() -> str:
+    """The rows of fingerprinted in DuckDB, for tables whose doc_ids are neither null nor repeated."""
+    blocks = BLOCK.replace("}+", "}").replace("\\x20", " ")
+
+    def tree(t: str) -> str:
+        sections = f"list_transform(string_split({t}, chr(10)), lambda s: list_transform(regexp_extract_all(s, '{blocks}'), lambda p: sha256(p)))"
+        return f"list_transform({sections}, lambda s: {{'node': sha256(array_to_string(s, ',')), 'leaves': array_to_string(list_transform(s, lambda p: p[1:{SHORT}]), ',')}})"
+
+    fp = lambda t: f"sha256(array_to_string(list_transform({t}, lambda s: s.node), '|')) || '=' || array_to_string(list_transform({t}, lambda s: s.node[1:{SHORT}] || ':' || s.leaves), '|')"
+    leaves = lambda t: f"list_distinct(flatten(list_transform({t}, lambda s: list_filter(string_split(s.leaves, ','), lambda x: x <> ''))))"
+    like = lambda a, x, b, y: f"CASE WHEN split_part({a}, '=', 1) = split_part({b}, '=', 1) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / greatest(len({x}) + len({y}), 1) END"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+edits AS (
+  SELECT doc_id, t, left(t, length(t) - length(t) // 2) || left(nxt, length(t) // 2) AS e FROM (
+    SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM docs)),
+trees AS MATERIALIZED (SELECT doc_id, length(t) AS n, sha256(e) AS sha, {tree('t')} AS tt, {tree('e')} AS te FROM edits),
+prints AS MATERIALIZED (SELECT doc_id, n, sha, {fp('tt')} AS f, {fp('te')} AS fe, {leaves('tt')} AS l, {leaves('te')} AS le FROM trees),
+nexts AS (SELECT *, coalesce(lead(f) OVER o, first_value(f) OVER o) AS fn, coalesce(lead(l) OVER o, first_value(l) OVER o) AS ln FROM prints WINDOW o AS (ORDER BY doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha AS edited_sha256, f AS fingerprint, fe AS edited_fingerprint,
+       {like('f', 'l', 'fe', 'le')} AS near_edited, {like('f', 'l', 'fn', 'ln')} AS near_next FROM nexts
+"""
+
+
+ORACLE = _oracle()

@@ -40,5 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_secret_scans": secrets.oracle(),
     "op3_quality_rules": quality.ORACLE,
+    "op6_document_fingerprints": fingerprints.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
 }

@@ -262,6 +262,29 @@ def test_next_over_sparse_ranges(spark, monkeypatch):
     assert got == H.edited(rows)
 
 
+def test_next_of_wide_outlying_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE", 16)
+    r = random.Random(12)
+    t = texts(400, length=8)
+    wide = [(r.randint(-(1 << 63), (1 << 63) - 1), x) for x in t]
+    outlier = [*[(i, x) for i, x in enumerate(t[:-1])], (1 << 62, t[-1])]
+    for rows in (wide, outlier):
+        docs = H.table(spark, rows)
+        assert {x["doc_id"]: x["edited_sha256"] for x in fingerprints.fingerprinted(docs).collect()} == H.edited(rows)
+        ranges = Counter(x["range"] for x in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).select(fingerprints._ranges(docs).alias("range")).collect())
+        assert max(ranges.values()) <= 64
+    # a third of all rows has one id, a third has none: they follow by the hashes of their texts
+    rows = [(i, x) for i, x in enumerate(t[:130])] + [(50, x) for x in t[130:265]] + [(None, x) for x in t[265:]]
+    docs = H.table(spark, rows)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    got = [tuple(x) for x in keyed.select("doc_id", "text", "h", fingerprints._ranges(docs).alias("range")).collect()]
+    order = lambda x: (x[0] is None, x[0] or 0, x[2])
+    assert [x[3] for x in sorted(got, key=order)] == sorted(x[3] for x in got) and max(Counter(x[3] for x in got).values()) <= 64
+    chain = sorted(got, key=order)
+    want = [(d, hashlib.sha256((x[: len(x) - len(x) // 2] + chain[(i + 1) % 400][1][: len(x) // 2]).encode()).hexdigest()) for i, (d, x, _, _) in enumerate(chain)]
+    assert sorted(map(str, ((x["doc_id"], x["edited_sha256"]) for x in fingerprints.fingerprinted(docs).collect()))) == sorted(map(str, want))
+
+
 def test_mixing_targets_and_sums(spark):
     r = random.Random(9)
     rows = [(i, " ".join(["w"] * r.randint(0, 60)), None, r.choice(["a", "b", "c", None])) for i in range(800)]
