@@ -38,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_index": warc.ORACLE,
     "op2_secret_scans": secrets.oracle(),
     "op3_quality_rules": quality.ORACLE,
     "op6_document_fingerprints": fingerprints.ORACLE,

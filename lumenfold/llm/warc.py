@@ -8,13 +8,18 @@ its page ids.
 `build_index` sorts one entry per record by its key, the reversed host and path followed by the page id, over range
 partitions; each partition is an index file of compressed blocks of BLOCK entries, and the directory keeps one line per
 block: its first key and where it lies. `lookup` finds the index file by binary search over the files' first keys (their
-number is a parameter), the block by binary search in that file's directory, reads that block's range, searches it, and
-then reads the record's range of the WARC file.
+number follows the number of records), the block by binary search in that file's directory, reads that block's range,
+searches it, and then reads the record's range of the WARC file. Keys are sorted before they are looked up, so that a task
+needs the directories of few files, and records are fetched by as many tasks as their bytes ask for.
+
+Lines of the index end with a line feed and its fields are parted by tabs; a url's control characters, spaces and percent
+signs that stand for nothing are percent-encoded in keys and headers, so no url can break a line.
 
 A task that is run again writes files of its own; only those that its last, successful run reported are referred to, so
 lost executors leave unused files, never wrong results.
 
-Defined results: null html is an empty payload; a null url has an empty key; records of equal payloads below
+Defined results: null html is an empty payload; a null url has an empty key; urls that can't be
+cut into host and path are keys as they are; records of equal payloads below
 MIN_REVISIT bytes are all responses; rows that repeat a page_id with the same payload share that id, the first by place is
 the response if it is the largest, and each is found again; an empty table gives no rows; other columns are not
 read.
@@ -25,6 +30,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,23 +44,34 @@ from .common import new_path, staged
 
 MIN_REVISIT = 1000
 BLOCK = 256
-#: Index files; also the number of first keys that a lookup holds in memory.
-INDEX_FILES = 64
+#: Records of an index file, about; a lookup holds the first key of every file in memory.
+FILE_RECORDS = 1 << 18
+#: Bytes of records that one task fetches, about.
+FETCH_BYTES = 16 << 20
 #: Ranges of one file that lie closer than this are read at once.
 GAP = 1 << 16
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+_CONTROL = re.compile("[\x00-\x20\x7f-\xa0\u2028\u2029]")
+
+
+def plain_url(url: str | None) -> str:
+    """The url without white space around it and with its control characters and spaces percent-encoded."""
+    return _CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "replace")), (url or "").strip())
+
+
 def surt(url: str | None) -> str:
-    """Reversed host, port and path with query, such as org,example,www)/a?b."""
+    """Reversed host, port and path with query, such as org,example,www)/a?b; a url that can't be cut as it is."""
+    url = plain_url(url)
     if not url:
         return ""
     try:
-        parts = urlsplit(url.strip())
+        parts = urlsplit(url)
         host, port = (parts.hostname or "").removeprefix("www."), parts.port
     except ValueError:
-        return url.strip().lower()
+        return url.lower()
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     return f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){rest}".lower()
 
@@ -97,7 +114,7 @@ class Files:
 
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record as a gzip member."""
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    uri = plain_url(url)
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>",
         f"WARC-Target-URI: {uri}", "WARC-Date: 2020-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"Page-ID: {'' if page_id is None else page_id}", f"Payload-Length: {len(payload)}",
@@ -165,7 +182,7 @@ def _key_column(url="url", page_id="page_id"):
     return key(F.col(url), F.col(page_id))
 
 
-def build_index(records: DataFrame, path: str, files: int = INDEX_FILES, block: int = BLOCK) -> DataFrame:
+def build_index(records: DataFrame, path: str, files: int, block: int = BLOCK) -> DataFrame:
     """Writes the index files into path; a row per index file: file, first (key), directory_at, directory_length."""
     entries = records.withColumn("key", _key_column())
     entries = entries.repartitionByRange(files, "key").sortWithinPartitions("key", "file", "offset")
@@ -201,23 +218,28 @@ def build_index(records: DataFrame, path: str, files: int = INDEX_FILES, block:
 
 
 class Directory:
-    """The sparse directories of the index files, each read when a key first falls into its file."""
+    """The sparse directories of the index files, each read when a key falls into its file, few of them held at a time."""
 
     def __init__(self, path: str, catalog: list[tuple[str, str, int, int]]):
         self.files, self.catalog = Files(path), sorted((first, name, at, n) for name, first, at, n in catalog)
         self.firsts, self.read = [x[0] for x in self.catalog], {}
 
+    def _directory(self, k: int) -> tuple[list[str], list[tuple[int, int]]]:
+        _, name, at, n = self.catalog[k]
+        if name not in self.read:
+            if len(self.read) >= 8:  # keys come sorted: the oldest is done with
+                self.read.pop(next(iter(self.read)))
+            lines = [x.split("\t") for x in zlib.decompress(next(self.files.ranges(name, [(at, n)]))).decode().split("\n")]
+            self.read[name] = ([x[0] for x in lines], [(int(x[1]), int(x[2])) for x in lines])
+        return self.read[name]
+
     def blocks(self, key: str) -> list[tuple[str, int, int]]:
         """The blocks that may hold key: file, offset, length. More than one only if key begins a block or file."""
         out = []
         k = bisect.bisect_right(self.firsts, key) - 1
         while k >= 0:
-            _, name, at, n = self.catalog[k]
-            if name not in self.read:
-                text = zlib.decompress(next(self.files.ranges(name, [(at, n)]))).decode()
-                lines = [x.split("\t") for x in text.split("\n")]
-                self.read[name] = ([x[0] for x in lines], [(int(x[1]), int(x[2])) for x in lines])
-            keys, places = self.read[name]
+            keys, places = self._directory(k)
+            name = self.catalog[k][1]
             i = bisect.bisect_right(keys, key) - 1
             while i >= 0:
                 out.append((name, *places[i]))
@@ -269,10 +291,16 @@ def lookup(queries: DataFrame, path: str, index_path: str, catalog: list[tuple[s
                 yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     place = "file string, offset long, length long"
-    blocks = queries.select(_key_column().alias("key")).distinct().mapInPandas(find, f"key string, {place}")
+    keys = queries.select(_key_column().alias("key")).distinct()
+    parts = max(1, -(-len(catalog) // 4))
+    blocks = keys.repartitionByRange(max(parts, 8), "key").sortWithinPartitions("key").mapInPandas(find, f"key string, {place}")
+    blocks = staged(blocks, "warc-blocks")
+    # a block is searched for all its keys at once, and no file's blocks meet in one task
     entries = blocks.repartition("file", "offset").sortWithinPartitions("file", "offset").mapInPandas(search, place)
-    # neighbours in a file are read together, and no file's records meet in one task
-    near = entries.repartition("file", F.expr(f"offset div {64 * GAP}")).sortWithinPartitions("file", "offset")
+    entries = staged(entries, "warc-entries")
+    tasks = max(1, (entries.agg(F.sum("length")).first()[0] or 0) // FETCH_BYTES)
+    # neighbours in a file are read together
+    near = entries.repartition(max(tasks, 8), "file", F.expr(f"offset div {64 * GAP}")).sortWithinPartitions("file", "offset")
     found = near.mapInPandas(fetch, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
@@ -282,5 +310,16 @@ def archived(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path, index_path = new_path(spark, "warc"), new_path(spark, "warc-index")
     records = staged(write(pages, path), "warc-records")
-    catalog = staged(build_index(records, index_path), "warc-catalog").collect()  # INDEX_FILES rows at most
+    files = max(8, -(-records.count() // FILE_RECORDS))
+    catalog = staged(build_index(records, index_path, files), "warc-catalog").collect()  # a row per index file
     return lookup(pages.select(F.col("page_id").cast("string").alias("page_id"), "url"), path, index_path, [tuple(r) for r in catalog])
+
+
+#: The same rows in DuckDB.
+ORACLE = f"""
+WITH paid AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+largest AS (SELECT h, max(page_id) AS top FROM paid WHERE n >= {MIN_REVISIT} GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top > page_id THEN top END AS refers_to
+FROM paid p LEFT JOIN largest l ON p.h = l.h AND p.n >= {MIN_REVISIT}
+"""

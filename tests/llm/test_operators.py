@@ -468,6 +468,8 @@ PAGES = "page_id long, url string, html string"
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>" + "é" * 800 + "</p>"
     rows = [(1, "http://www.b.org/x", body), (5, "http://a.org:8080/y?q=1#f", body), (3, None, body), (2, "http://b.org/x", "short"), (4, "http://b.org/x", "short"), (6, "bad url [", None), (7, "http://b.org/x", LONG), (8, "http://c.org/\r\nx", "")]
+    odd = ["http://[a\tb", "http://[x\ny", "\t", "a\tb\t1\t2", "http://a.org/\x00\x0b\x85\u2028z", "http://é.org/ü ß", "http://a.org:99999/", "x" * 20000, "http://a.org/%zz\r\n\r\n", "\ud7ff 😀"]
+    rows += [(50 + i, u, f"odd {i}") for i, u in enumerate(odd)]
     rows += [(100 + i, f"http://h{i % 3}.net/p{i}", f"page {i}") for i in range(700)]
     pages = spark.createDataFrame(rows, PAGES)
     assert set(scalars(warc.archived(pages))) == H.archive([(p, h) for p, _, h in rows])
