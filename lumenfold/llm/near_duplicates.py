@@ -358,3 +358,28 @@ def deduplicated(docs: DataFrame, threshold: tuple[int, int] = (80, 100)) -> Dat
     if not sig.where("n_shingles > 0").groupBy("doc_id", "tk").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         worded = worded.dropDuplicates(["__own", "__tk"])
     return worded.select("__row.*").unionByName(rows.where("not __words").select("__row.*"))
+
+
+def oracle(threshold: tuple[int, int] = (85, 100)) -> str:
+    """The rows of components in DuckDB, which compares all pairs that share a shingle; for doc_ids that are neither null nor
+    repeated."""
+    num, den = threshold
+    return f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i+{SHINGLE - 1}], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM docs),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE {den} * common >= {num} * (x.n + y.n - common)),
+links AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reached(node, root) AS (
+  SELECT doc_id, doc_id FROM docs
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node),
+least AS (SELECT node, min(root) AS component_id FROM reached GROUP BY node)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d JOIN least ON node = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
+"""

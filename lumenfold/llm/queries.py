@@ -43,4 +43,5 @@ ORACLES: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE,
     "op6_document_fingerprints": fingerprints.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op10_minhash_near_dedup": near_duplicates.oracle(),
 }

@@ -8,7 +8,8 @@ form the vocabulary. The result is the expected grade, the likeliest grade, and
 of FLAG or more.
 
 Defined results: a null or empty text has no features and gets what the cuts alone say; without labelled documents
-every severity is 0; of several labels of a document the highest grade counts; rows that repeat a doc_id are graded
+every severity is 0; of several labels of a document the highest grade counts; labels without a doc_id or a toxic mark
+count for nothing; of several texts of a labelled document one, by a hash, is learned from; rows that repeat a doc_id are graded
 each; an empty table gives no rows; other columns are not read.
 """
 
@@ -141,10 +142,11 @@ def held_out(doc_id):
 def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most size texts and grades of labelled documents that are not held out, first by hash."""
     grade = F.coalesce(F.col("toxic"), F.lit(0)) * (2 - F.coalesce(F.col("quality"), F.lit(1)))
+    # one text, the same on every run, of a document that has several
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.least(grade, F.lit(GRADES - 1))).alias("grade"))
     chosen = staged(named.orderBy(F.xxhash64("doc_id", F.lit("toxic-sample")), "doc_id").limit(size), "toxic-sample")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = sorted(rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect(), key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["grade"] for r in rows]
 
 
