@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -462,6 +463,73 @@ def test_ordered_cuts_share_weights():
     assert m.cuts[0] < m.cuts[1] and p.argmax(axis=1).tolist() == [0, 1, 2] and np.allclose(p.sum(axis=1), 1)
 
 
+def plain_loss(weight, cuts, texts, grades):
+    """The penalized mean negative log likelihood, one document and one feature at a time."""
+    total = 0.0
+    for t, y in zip(texts, grades, strict=True):
+        score = sum(weight.get(f, 0.0) * math.log(1 + n) for f, n in Counter(f for w in t.lower().split() for f in toxicity.features_of(w)).items())
+        below = [0.0, *[1 / (1 + math.exp(score - c)) for c in cuts], 1.0]
+        total -= math.log(max(below[y + 1] - below[y], 1e-12))
+    return total / len(texts) + toxicity.RIDGE / 2 * sum(w * w for w in weight.values())
+
+
+def test_toxicity_fit_against_plain_likelihood():
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(12)]
+    rows, grades = [], []
+    for _ in range(150):
+        g = r.choice([0, 0, 0, 1, 2])
+        rows.append(" ".join([r.choice(vocabulary) for _ in range(12)] + ["bad"] * r.choice([g, max(0, g - 1), g]) + ["awful"] * (g == 2) * r.randint(0, 2)))
+        grades.append(g)
+    m = toxicity.fit(rows, grades)
+    best = plain_loss(m.weight, m.cuts, rows, grades)
+    # no change of a parameter, up or down, does better
+    for step in (0.02, 0.2):
+        for sign in (1, -1):
+            for f in sorted(m.weight):
+                assert plain_loss({**m.weight, f: m.weight[f] + sign * step}, m.cuts, rows, grades) > best - 1e-5, f
+            for k in range(2):
+                cuts = m.cuts.copy()
+                cuts[k] += sign * step
+                assert plain_loss(m.weight, cuts, rows, grades) > best - 1e-5
+    p = m.grades(rows[:20])
+    for t, q in zip(rows[:20], p, strict=True):
+        for y in range(3):
+            assert math.isclose(-math.log(q[y]), plain_loss({}, m.cuts - sum(m.weight.get(f, 0) * math.log(1 + n) for f, n in Counter(f for w in t.split() for f in toxicity.features_of(w)).items()), [""], [y]), rel_tol=1e-6)
+
+
+def test_toxicity_edges(spark):
+    label = "doc_id long, quality int, toxic int"
+    rows = [*EDGE, (5, "same text here"), (5, "another text of five"), (70, "vile words"), (71, "nice words")]
+    labels = spark.createDataFrame([(70, 1, 1), (70, 0, 1), (71, 1, 0), (None, 1, 1), (5, None, None), (5, 1, 0), (4, None, 0), (999, 1, 1)], label)
+    one, two = (sorted(map(repr, scalars(toxicity.graded(d, labels)))) for d in (H.table(spark, rows), H.clashing(H.table(spark, rows)).repartition(3)))
+    assert one == two and len(one) == len(rows)
+    assert scalars(toxicity.graded(H.table(spark, []), labels)) == []
+
+
+def test_language_scores_against_plain_regression():
+    rows = language_rows()[:45]
+    t, y = [r[1] for r in rows], [r[2] for r in rows]
+    m = string_kernel.fit(t, y, landmarks=12)
+    sets = [set(string_kernel.buckets(x).tolist()) for x in t]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    # landmarks: the first four of each language, in turn
+    by = {lang: [i for i, v in enumerate(y) if v == lang] for lang in sorted(set(y))}
+    marks = [i for k in range(4) for i in sorted(by[lang][k] for lang in by)]
+    knm = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in range(len(t))])
+    kmm = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in marks])
+    for c, lang in enumerate(sorted(by)):
+        target = np.array([1.0 if v == lang else -1.0 for v in y])
+        weight = np.array([1 / len(by[v]) for v in y])
+        bias = (weight * target).sum() / weight.sum()
+        # the ridge problem as least squares: rows of the data, and rows that stand for the penalty
+        root = np.linalg.cholesky(string_kernel.RIDGE * kmm + 1e-9 * np.eye(len(marks))).T
+        a = np.vstack([knm * np.sqrt(weight)[:, None], root])
+        b = np.concatenate([(target - bias) * np.sqrt(weight), np.zeros(len(marks))])
+        alpha = np.linalg.lstsq(a, b, rcond=None)[0]
+        assert np.allclose(m.scores(t)[:, c], knm @ alpha + bias, atol=2e-4), lang
+
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -493,6 +561,8 @@ CASES = [
     ("", ""),
     (None, ""),
     ("<article><p>a &#233; &eacute; &nbsp; b</p></article>", "a é é b"),
+    ("<article><p>1 < 2 and <math><mi>x</mi></math> <select><option>o</select>y<svg><title>t</title></svg></p><p class=byline>by z</p></article>", "1 < 2 and x y\nby z"),
+    ("<article><p>a <noscript>n</noscript>b</p><p title='x > y'>c</p><p>d <3 e</p></article> tail < end", "a b\nc\nd <3 e"),
 ]
 
 
@@ -522,19 +592,58 @@ def test_boilerplate_goes_and_unique_runs_stay(spark):
 
 def test_boilerplate_goes_whatever_the_size_of_the_host(spark):
     notice = "sign up for our weekly letter and never miss a story again"
-    want = texts(300, 17, 25)
-    for n in (60, 300):
+    want = texts(400, 17, 25)
+    for n, shard_bytes, run_bytes in ((60, 1 << 20, 1 << 20), (200, 4000, 1 << 20), (400, 4000, 0)):
         rows = [(i, "http://x.org/", f"<div>{t}</div>" + (f"<div>{notice}</div>" if i < 10 else "")) for i, t in enumerate(want[:n])]
         # copies of one page are no repetition, and all get its text
         rows += [(1000 + i, "http://x.org/", f"<div>{want[20]}</div>") for i in range(5)]
-        got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(rows, PAGES), shard=20).collect()}
+        got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame(rows, PAGES), shard_bytes, run_bytes).collect()}
         assert got == {**dict(enumerate(want[:n])), **{1000 + i: want[20] for i in range(5)}}
 
 
+def test_unmarked_notice_in_articles_goes(spark):
+    notice = "please support our work by reading this fine paper every single day"
+    shared, want = " ".join(f"p{i}" for i in range(60)), texts(40, 18, 25)
+    body = lambda i: f"<p>{want[i]}</p>" + (f"<p>{shared}</p>" if i < 15 else "")
+    rows = [(i, "http://x.org/", f"<article>{body(i)}<p>{notice}</p></article>") for i in range(40)]
+    # versions of one article are no boilerplate, on however many pages of the host they stand
+    versions = [(100 + i, "http://y.org/", f"<article><p>{want[0]} {shared}</p><p>version {i} of it</p></article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(spark.createDataFrame([*rows, *versions], PAGES), 4000).collect()}
+    assert all(got[i] == want[i] + (f"\n{shared}" if i < 15 else "") for i in range(40))
+    assert all(got[100 + i] == f"{want[0]} {shared}\nversion {i} of it" for i in range(20))
+
+
+def test_very_many_copies_move_once(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "COPIES", 10)
+    rows = spark.createDataFrame([("h", "<p>a</p>")] * 50 + [("h", "<p>b</p>")] * 3 + [("g", None)], "host string, html string")
+    assert Counter(map(tuple, html_text._once(rows).collect())) == {("h", "<p>a</p>"): 1, ("h", "<p>b</p>"): 3, ("g", None): 1}
+
+
+@pytest.mark.parametrize("bit", ["<a", "<a ", '<a "', "<a '>", "<!", "<div>", "</p>", "<a b='", "&#", "<script>", "<p hidden", "<!--"])
+def test_blocks_of_a_long_broken_page_take_no_long_time(bit):
+    import time
+
+    start = time.perf_counter()
+    html_text.blocks(bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - start < 10
+
+
+def test_suffix_array_against_sorting():
+    r = random.Random(4)
+    for _ in range(60):
+        stream = [r.randint(0, 3) for _ in range(r.randint(0, 40))]
+        suffixes, common = html_text.suffix_array(np.array(stream, dtype=np.int64))
+        want = sorted(range(len(stream)), key=lambda i: stream[i:])
+        assert suffixes.tolist() == want
+        for k in range(1, len(want)):
+            a, b = stream[want[k - 1] :], stream[want[k] :]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def test_suffix_runs_against_plain_version():
     r = random.Random(1)
     pages = [[r.choice("abcd") for _ in range(r.randint(0, 60))] for _ in range(12)]
-    flags = html_text.repeated(pages, run=4, least=2, share=0)
+    flags = html_text.repeated(pages, run=4, least=2)
     grams = defaultdict(set)
     distinct = list(dict.fromkeys(map(tuple, pages)))
     for p in distinct:

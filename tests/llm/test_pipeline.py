@@ -1,18 +1,21 @@
 import os
 import random
 import sys
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
 import helpers as H
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import corpus_pipeline as P  # noqa: E402
 import sqlcheck  # noqa: E402
 
-from lumenfold.llm import mixing, queries  # noqa: E402
+from lumenfold.llm import mixing, packing, queries, string_kernel  # noqa: E402
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,6 +39,16 @@ def test_stages_against_plain_versions(spark, tmp_path):
         seen.append(docs.collect())
     start = spark.read.parquet(f"{SF}/documents.parquet").collect()
     language, near, clean, mix, packed = seen
+    # the language stage against kernels of sets, one document at a time
+    model = string_kernel.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in start:
+        own = set(string_kernel.buckets(r["text"] or "").tolist())
+        if not any(c.isalpha() for c in r["text"] or ""):
+            continue
+        out = model.folded[sorted(own)].sum(axis=0) / len(own) ** 0.5 + model.bias
+        k = int(out.argmax())
+        lift = (out[k] - model.bias[k]) / (1 - model.bias[k])
+        assert (lift >= model.least[k] * min(1, len(own) / string_kernel.FULL_GRAMS)) == (r["doc_id"] in {x["doc_id"] for x in language})
     # all documents with letters have one of the learned languages
     assert {r["doc_id"] for r in language} == {r["doc_id"] for r in start if any(c.isalpha() for c in r["text"] or "")}
     want = H.components([(r["doc_id"], r["text"]) for r in language], 80, 100)
@@ -50,6 +63,15 @@ def test_stages_against_plain_versions(spark, tmp_path):
     plan = {r[0]: r[4] // r[1] for r in db.execute(mixing.ORACLE).fetchall() if r[1]}
     times = Counter(r["doc_id"] for r in mix)
     assert all(times[d] == n for d, n in plan.items())
+    full = Tokenizer.from_file(packing.tokenizer_path())
+    ids = {r["doc_id"]: np.asarray([*full.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4") for r in mix}
+    used = defaultdict(list)
+    for r in packed:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + 2048]
+        assert (r["start"], r["length"], r["ids_crc32"]) == (2048 * r["piece"], len(own), zlib.crc32(own.tobytes()))
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in used.values():
+        assert [o for o, _ in sorted(v)] == [sum(n for _, n in sorted(v)[:i]) for i in range(len(v))] and sum(n for _, n in v) <= 2048
     pieces = Counter((r["doc_id"], r["piece"]) for r in packed)
     assert {d for d, _ in pieces} == set(times) and all(n == times[d] for (d, _), n in pieces.items())
 
