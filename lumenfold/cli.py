@@ -1,4 +1,4 @@
-"""python -m lumenfold.cli run | compare | generate | sweep | speedup"""
+"""python -m lumenfold.cli run | compare | generate | sweep | speedup | mae | charts"""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .operators.metrics import compare, equalizer
+from .operators.metrics import check_same_points, compare, equalizer, mean_absolute_error
 from .plans import benchmark
 from .sources import generator, text
 
@@ -40,14 +40,29 @@ def generate(args: argparse.Namespace) -> None:
 
 
 def sweep(args: argparse.Namespace) -> None:
-    records = benchmark.sweep(session(), args.n or benchmark.SWEEP_N, args.k or benchmark.SWEEP_K, args.rounds or benchmark.SWEEP_T)
-    benchmark.write_records(records, args.output)
+    benchmark.sweep(session(), args.n or benchmark.SWEEP_N, args.k or benchmark.SWEEP_K, args.rounds or benchmark.SWEEP_T, path=args.output)
 
 
 def speedup(args: argparse.Namespace) -> None:
     benchmark.write_records(benchmark.speedups(benchmark.read_records(session(), args.input)), args.output)
 
 
+def mae(args: argparse.Namespace) -> None:
+    """The mean absolute error of two result files, which must hold the same points in the same order."""
+    spark = session()
+    one, two = (text.read_result(spark, p, args.precision) for p in (args.result, args.baseline))
+    check_same_points(one, two)
+    print(f"{mean_absolute_error(one, two).first()['mae']:.6f}")
+
+
+def charts(args: argparse.Namespace) -> None:
+    """The tables behind the charts, from a CSV of records."""
+    typed = benchmark.typed_records(benchmark.read_records(session(), args.input))
+    for table in (benchmark.scaling_n, benchmark.device_speedup, benchmark.scaling_k, benchmark.precision_impact, benchmark.exact_over_approx):
+        print(table.__name__)
+        table(typed).show(1000, truncate=False)
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="lumenfold", description=__doc__)
     sub = out.add_subparsers(required=True)
@@ -77,6 +92,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(name, type=int, nargs="*")
     p.add_argument("--output", default="benchmark_results")
     p = command("speedup", speedup, "input", "output")
+    p = command("mae", mae, "result", "baseline")
+    p.add_argument("--precision", choices=["int", "float"], default="int")
+    p = command("charts", charts, "input")
     return out
 
 

@@ -58,12 +58,13 @@ def format_duration(ms: Column) -> Column:
 
 
 def duration_ms(text: Column) -> Column:
-    """Milliseconds of a text such as "1.5 ms" in ns, microseconds (µs or us), ms or s; null if it is none."""
+    """Milliseconds of a text such as "1.5 ms" in ns, microseconds (µs or us), ms or s, or a bare number of seconds; null if
+    it is none."""
     bare = F.trim(F.regexp_replace(text, '"', ""))
-    number = F.regexp_extract(bare, r"^([-+0-9.eE]+)\s*(ns|µs|us|ms|s)$", 1)
-    unit = F.regexp_extract(bare, r"^([-+0-9.eE]+)\s*(ns|µs|us|ms|s)$", 2)
+    number = F.regexp_extract(bare, r"^([-+0-9.eE]+)\s*(ns|µs|us|ms|s)?$", 1)
+    unit = F.regexp_extract(bare, r"^([-+0-9.eE]+)\s*(ns|µs|us|ms|s)?$", 2)
     value = number.try_cast("double")
-    return F.when(unit == "ns", value / 1e6).when(unit.isin("µs", "us"), value / 1e3).when(unit == "ms", value).when(unit == "s", value * 1e3)
+    return F.when(unit == "ns", value / 1e6).when(unit.isin("µs", "us"), value / 1e3).when(unit == "ms", value).otherwise(value * 1e3)
 
 
 def ratio_text(a: Column, b: Column) -> Column:

@@ -16,6 +16,8 @@ from .voxel import CELL, Grid, cell_counts, cell_pairs
 
 MAX_RADIUS = 50
 LADDER = (2, 4, 8, 16, 32, MAX_RADIUS)
+#: So few open cells among so few cells are searched to the last radius at once.
+FEW_OPEN, FEW_CELLS = 2048, 32768
 
 
 def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFrame:
@@ -23,7 +25,10 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
     counts = staged(counts, "cells")
     open_cells, found = counts.select(*CELL), []
     first = 0 if include_home else 1
+    cells = n_open = counts.count()
     for radius in LADDER:
+        if n_open <= FEW_OPEN and cells <= FEW_CELLS:
+            radius = MAX_RADIUS
         rings = cell_pairs(open_cells, counts, radius).where(F.col("ring") >= first).groupBy("c_gx", "c_gy", "c_gz", "ring").agg(F.sum("o_n").alias("n"))
         run = F.sum("n").over(Window.partitionBy("c_gx", "c_gy", "c_gz").orderBy("ring"))
         done = rings.withColumn("run", run).where(F.col("run") >= k).groupBy("c_gx", "c_gy", "c_gz").agg(F.min("ring").alias("ring"))
@@ -31,11 +36,14 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
         stop = F.least(F.greatest("ring", F.lit(1)) * 2, F.lit(MAX_RADIUS)).cast("int")
         done = staged(done.select(*[F.col(f"c_{c}").alias(c) for c in CELL], stop.alias("stop")), "stops")
         found.append(done)
-        open_cells = staged(open_cells.join(done, CELL, "left_anti"), "open-cells")
-        if open_cells.isEmpty():
+        open_cells = open_cells.join(done, CELL, "left_anti")
+        if radius == MAX_RADIUS:
+            found.append(open_cells.withColumn("stop", F.lit(MAX_RADIUS)))
+            break
+        open_cells = staged(open_cells, "open-cells")
+        n_open = open_cells.count()
+        if not n_open:
             break
-    else:
-        found.append(open_cells.withColumn("stop", F.lit(MAX_RADIUS)))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

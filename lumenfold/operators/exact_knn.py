@@ -8,8 +8,6 @@ holds more than DENSE distinct places, so that dense parts are searched at a sca
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

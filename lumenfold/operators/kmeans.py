@@ -3,8 +3,8 @@
 The first k points are the seeds. Each round assigns every point to its nearest centroid (then by the centroid's
 coordinates, then its number) and moves centroids to their points' mean, truncated for whole coordinates; an empty
 cluster keeps its centroid. After `rounds` rounds the clusters are those of the last assignment, made before the last
-move. Centroids are k rows on the driver; the points stay where they are, and a round moves k partial sums per
-partition."""
+move. Centroids are k rows on the driver and one row of arrays for the points, so that every round runs the code compiled
+for the first; the points are written once and stay where they are, and a round moves k partial sums per partition."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import equalized, squared_distance
+from ..plans.staging import BROADCAST_BYTES, staged
 from ..schema import check_k, is_whole, validated
 
 Centroids = list[tuple]
@@ -28,17 +29,26 @@ def seeds(points: DataFrame, k: int) -> Centroids:
     return [(r["x"], r["y"], r["z"]) for r in rows]
 
 
-def nearest_centroid(centroids: Centroids, whole: bool) -> Column:
-    """The number of the nearest centroid."""
-    kind = "long" if whole else "float"
-    options = []
-    for j, c in enumerate(centroids):
-        cx, cy, cz = (F.lit(v).cast(kind) for v in c)
+def assigned_to(points: DataFrame, centroids: Centroids) -> DataFrame:
+    """points with cluster, the number of the nearest centroid."""
+    k = len(centroids)
+    if k == 1:
+        return points.withColumn("cluster", F.lit(0))
+    kind = "long" if is_whole(points) else "float"
+    axes = [F.array(*[F.lit(c[a]).cast(kind) for c in centroids]).alias(f"__c{a}") for a in range(3)]
+    # one row
+    rows = points.crossJoin(F.broadcast(points.sparkSession.range(1).select(*axes)))
+
+    def option(j: Column | int) -> Column:
+        cx, cy, cz = (F.get(f"__c{a}", j if isinstance(j, Column) else F.lit(j)) for a in range(3))
         d = squared_distance(F.col("x"), F.col("y"), F.col("z"), cx, cy, cz)
-        options.append(F.struct(d.alias("d"), cx.alias("x"), cy.alias("y"), cz.alias("z"), F.lit(j).alias("j")))
-    if len(options) == 1:
-        return F.lit(0)
-    return (F.least(*options) if len(options) <= UNROLLED else F.array_min(F.array(*options)))["j"]
+        return F.struct(d.alias("d"), cx.alias("x"), cy.alias("y"), cz.alias("z"), (j if isinstance(j, Column) else F.lit(j)).alias("j"))
+
+    if k <= UNROLLED:
+        best = F.least(*[option(j) for j in range(k)])
+    else:
+        best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), option))
+    return rows.withColumn("cluster", best["j"]).drop("__c0", "__c1", "__c2")
 
 
 def centroid_sums(assigned: DataFrame) -> DataFrame:
@@ -63,7 +73,7 @@ def centroids_after(points: DataFrame, k: int, moves: int) -> Centroids:
     whole = is_whole(points)
     centroids = seeds(points, k)
     for _ in range(moves):
-        new = moved(centroids, centroid_sums(points.withColumn("cluster", nearest_centroid(centroids, whole))).collect(), whole)
+        new = moved(centroids, centroid_sums(assigned_to(points.select("x", "y", "z"), centroids)).collect(), whole)
         if new == centroids:  # from here on nothing changes
             break
         centroids = new
@@ -76,7 +86,8 @@ def clustered(points: DataFrame, k: int, rounds: int) -> DataFrame:
         raise ValueError("rounds must be 0 or more")
     if rounds == 0:
         return points.withColumn("cluster", F.lit(0))
-    return points.withColumn("cluster", nearest_centroid(centroids_after(points, k, rounds - 1), is_whole(points)))
+    points = staged(points, "kmeans-points")
+    return assigned_to(points, centroids_after(points, k, rounds - 1))
 
 
 def histogram(assigned: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def equalize_kmeans(cloud: DataFrame, k: int, rounds: int) -> DataFrame:
     new = equalized(F.col("intensity"), F.col("cdf"), F.col("cdf_min"), F.col("m"))
     table = cluster_cdf(histogram(assigned)).select("cluster", "intensity", new.alias("new_intensity"))
     # 256 rows for each of k clusters at most
-    table = F.broadcast(table) if k <= 4096 else table
+    table = F.broadcast(table) if k * 256 * 24 <= BROADCAST_BYTES else table
     return assigned.join(table, ["cluster", "intensity"]).select("idx", "x", "y", "z", "intensity", "cluster", "new_intensity")
 
 

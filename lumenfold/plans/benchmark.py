@@ -18,8 +18,9 @@ SWEEP_T = (5, 10, 25, 50)
 RECORD = "n string, k string, t string, algo string, precision string, gpu_time string, cpu_time string, mae string"
 
 
-def sweep(spark: SparkSession, ns=SWEEP_N, ks=SWEEP_K, ts=SWEEP_T, precisions=("int", "float"), seed: int = 42) -> DataFrame:
-    """A record per cloud, method and parameters, in the CSV's text form. gpu_time holds this engine's time."""
+def sweep(spark: SparkSession, ns=SWEEP_N, ks=SWEEP_K, ts=SWEEP_T, precisions=("int", "float"), seed: int = 42, path: str | None = None) -> DataFrame:
+    """A record per cloud, method and parameters, in the CSV's text form. gpu_time holds this engine's time. path: where
+    the records of each cloud and k are appended as soon as they are measured, so that a sweep that ends early leaves them."""
     rows = []
     for n in ns:
         clouds = {p: generate_cloud(spark, n, p, seed).persist() for p in precisions}
@@ -35,8 +36,18 @@ def sweep(spark: SparkSession, ns=SWEEP_N, ks=SWEEP_K, ts=SWEEP_T, precisions=("
                         base[p] = result
                     mae = 0.0 if algo == KNN else mean_absolute_error(result, base[p]).first()["mae"]
                     rows.append((n, k, rounds, algo, p, ms, mae))
+                    if algo != KNN:
+                        result.unpersist()
+            for result in base.values():
+                result.unpersist()
+            if path:
+                write_records(_records(spark, rows[-len(precisions) * (2 + len(ts)) :]), path)
         for cloud in clouds.values():
             cloud.unpersist()
+    return _records(spark, rows)
+
+
+def _records(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     df = spark.createDataFrame(rows, "n long, k int, t int, algo string, precision string, ms double, mae double")
     return df.select(
         F.col("n").cast("string").alias("n"), F.col("k").cast("string").alias("k"), F.coalesce(F.col("t").cast("string"), F.lit("-")).alias("t"), "algo", "precision",

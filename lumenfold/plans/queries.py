@@ -181,6 +181,12 @@ _add("kmeans_cdf", _int(lambda c: kmeans.cluster_cdf(kmeans.histogram(_clusters(
 _EQ = "SELECT idx, x, y, z, k.intensity, cluster, new_intensity FROM k JOIN (SELECT cluster, intensity, " + _NEW + " FROM cdf) USING (cluster, intensity)"
 _add("kmeans_equalize_int", _int(lambda c: kmeans.equalize_kmeans(c, CLUSTERS, ROUNDS)), f"{_INT_KMEANS} {_EQ}")
 _add("kmeans_equalize_float", _float(lambda c: kmeans.equalize_kmeans(c, CLUSTERS, ROUNDS)), f"{_FLOAT_KMEANS} {_EQ}")
+# the settings of the sweep's largest number of rounds
+_add(
+    "kmeans_equalize_k64_t50",
+    _int(lambda c: kmeans.equalize_kmeans(c, 64, 50)),
+    f"WITH {_p(INT_CLOUD_SQL)}, {_kmeans_sql(True, 64, 50)}, {_CLUSTER_CDF.format(a='a50')} {_EQ}",
+)
 _add(
     "global_equalize",
     _int(kmeans.equalize_global),
@@ -220,11 +226,11 @@ _add(
     "SELECT CAST(i AS INTEGER) AS i, CASE WHEN ms * 1e6 < 1e3 THEN printf('%.3f ns', ms * 1e6) WHEN ms * 1e6 < 1e6 THEN printf('%.3f µs', ms * 1e6 / 1e3) WHEN ms * 1e6 < 1e9 THEN printf('%.3f ms', ms) ELSE printf('%.3f s', ms / 1e3) END AS text "
     f"FROM (VALUES {', '.join(f'({i}, CAST({v!r} AS DOUBLE))' for i, v in enumerate(_MS))}) v(i, ms)",
 )
-_TEXTS = ["12.345 ms", "500.000 µs", "2.5 us", "900.000 ns", "2.000 s", "", "n/a", "7 h"]
+_TEXTS = ["12.345 ms", "500.000 µs", "2.5 us", "900.000 ns", "2.000 s", "", "n/a", "7 h", "1.5", "-", "3e2"]
 _add(
     "parse_duration",
     lambda spark, sf_dir: spark.createDataFrame([(i, v) for i, v in enumerate(_TEXTS)], "i int, text string").select("i", F.round(scalars.duration_ms(F.col("text")), 9).alias("ms")),
-    "SELECT CAST(i AS INTEGER) AS i, round(CAST(nullif(regexp_extract(text, '^([0-9.]+) *(ns|µs|us|ms|s)$', 1), '') AS DOUBLE) * CASE regexp_extract(text, '^([0-9.]+) *(ns|µs|us|ms|s)$', 2) WHEN 'ns' THEN 1e-6 WHEN 'µs' THEN 1e-3 WHEN 'us' THEN 1e-3 WHEN 'ms' THEN 1.0 ELSE 1000.0 END, 9) AS ms "
+    "SELECT CAST(i AS INTEGER) AS i, round(TRY_CAST(nullif(regexp_extract(text, '^([-+0-9.eE]+) *(ns|µs|us|ms|s)?$', 1), '') AS DOUBLE) * CASE regexp_extract(text, '^([-+0-9.eE]+) *(ns|µs|us|ms|s)?$', 2) WHEN 'ns' THEN 1e-6 WHEN 'µs' THEN 1e-3 WHEN 'us' THEN 1e-3 WHEN 'ms' THEN 1.0 ELSE 1000.0 END, 9) AS ms "
     f"FROM (VALUES {', '.join(f'''({i}, '{v}')''' for i, v in enumerate(_TEXTS))}) v(i, text)",
 )
 RECORDS = [
@@ -276,4 +282,23 @@ def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_cloud_lines(spark, path)
 
 
+def _token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "text")
+    text.write_cloud(float_cloud(spark, sf_dir), path, K, ROUNDS)
+    return text.read_cloud(spark, path, "float")[0]
+
+
+def _result_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result in several files, read back with its line numbers."""
+    path = new_path(spark, "result")
+    text.write_result(int_cloud(spark, sf_dir).withColumn("new_intensity", F.col("intensity")), path, single=False)
+    return text.read_result(spark, path)
+
+
+_add("token_roundtrip_float", _token_roundtrip, f"SELECT idx, {', '.join(f'CAST(printf({chr(39)}%.4f{chr(39)}, {c}) AS FLOAT) AS {c}' for c in 'xyz')}, intensity FROM ({FLOAT_CLOUD_SQL})")
+_add(
+    "result_roundtrip",
+    _result_roundtrip,
+    f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, intensity AS new_intensity FROM ({INT_CLOUD_SQL})",
+)
 _add("text_roundtrip", _roundtrip, f"SELECT idx, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z, intensity FROM ({INT_CLOUD_SQL})")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COLUMNS = ["idx", "x", "y", "z", "intensity"]
-MAX_K = 128
 
 
 def cloud_schema(coordinates: str = "int") -> T.StructType:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from ..plans.staging import broadcast_if_small, staged
 from ..schema import cloud_schema, validated
 
 
@@ -54,12 +55,13 @@ def read_cloud(spark: SparkSession, path: str, coordinates: str = "int") -> tupl
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    """lines (value) with at: the number of the line in its file, from 0. Only a row per split reaches the driver."""
-    raw = lines.select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    splits = raw.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = F.sum("n").over(Window.orderBy("block")) - F.col("n")
-    splits = splits.select("block", "first", before.alias("before"))
-    return raw.join(F.broadcast(splits), "block").select("value", (F.col("before") + F.col("id") - F.col("first")).alias("at"))
+    """lines (value) with at: the number of the line, from 0, in the file or in all files of a folder by their names. One row
+    per split is ordered in one task."""
+    raw = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")
+    splits = staged(splits.select("file", "block", "first", before.alias("before")), "splits")
+    return raw.join(broadcast_if_small(splits, 512), ["file", "block"]).select("value", (F.col("before") + F.col("id") - F.col("first")).alias("at"))
 
 
 def read_cloud_lines(spark: SparkSession, path: str, coordinates: str = "int") -> DataFrame:

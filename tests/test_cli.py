@@ -4,7 +4,7 @@ import pytest
 
 from lumenfold import cli
 from lumenfold.plans import benchmark
-from lumenfold.sources import generator
+from lumenfold.sources import generator, text
 
 
 def test_generate_run_compare(spark, tmp_path, capsys):
@@ -29,3 +29,27 @@ def test_speedup_command(spark, tmp_path):
     cli.main(["speedup", str(tmp_path / "a"), str(tmp_path / "b")])
     rows = spark.read.csv(str(tmp_path / "b"), header=True).collect()
     assert {r["algo"]: r["algo_gpu_speedup"] for r in rows} == {"knn": "-", "approx_knn": "2.0000"}
+
+
+def test_mae_command(spark, tmp_path, capsys):
+    cloud = spark.createDataFrame([(i, i, i % 7, -i, i % 50) for i in range(3000)], "idx long, x int, y int, z int, new_intensity int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_result(cloud, str(tmp_path / "one"), single=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    text.write_result(cloud.withColumn("new_intensity", cloud["new_intensity"] + 2), str(tmp_path / "two"))
+    assert len(glob.glob(str(tmp_path / "one/part-*"))) > 1
+    cli.main(["mae", str(tmp_path / "one"), str(tmp_path / "two")])
+    assert capsys.readouterr().out.strip().splitlines()[-1] == "2.000000"
+    text.write_result(cloud.withColumn("x", cloud["x"] + 1), str(tmp_path / "three"))
+    with pytest.raises(ValueError, match="differ"):
+        cli.main(["mae", str(tmp_path / "one"), str(tmp_path / "three")])
+
+
+def test_sweep_appends_as_it_goes(spark, tmp_path, capsys):
+    cli.main(["sweep", "--n", "40", "--k", "3", "4", "--rounds", "2", "--output", str(tmp_path / "s")])
+    rows = benchmark.read_records(spark, str(tmp_path / "s")).collect()
+    assert len(rows) == 12 and {r["k"] for r in rows} == {"3", "4"} and len(glob.glob(str(tmp_path / "s/part-*"))) == 2
+    cli.main(["charts", str(tmp_path / "s")])
+    assert "exact_over_approx" in capsys.readouterr().out
