@@ -3,8 +3,8 @@
 The first k points are the seeds. Each round assigns every point to its nearest centroid (then by the centroid's
 coordinates, then its number) and moves centroids to their points' mean, truncated for whole coordinates; an empty
 cluster keeps its centroid. After `rounds` rounds the clusters are those of the last assignment, made before the last
-move. Centroids are k rows on the driver and one row of arrays for the points, so that every round runs the code compiled
-for the first; the points are written once and stay where they are, and a round moves k partial sums per partition."""
+move. Centroids are k rows on the driver; the points are written once and stay where they are, and a round moves k partial
+sums per partition."""
 
 from __future__ import annotations
 
@@ -35,20 +35,19 @@ def assigned_to(points: DataFrame, centroids: Centroids) -> DataFrame:
     if k == 1:
         return points.withColumn("cluster", F.lit(0))
     kind = "long" if is_whole(points) else "float"
-    axes = [F.array(*[F.lit(c[a]).cast(kind) for c in centroids]).alias(f"__c{a}") for a in range(3)]
-    # one row
-    rows = points.crossJoin(F.broadcast(points.sparkSession.range(1).select(*axes)))
 
-    def option(j: Column | int) -> Column:
-        cx, cy, cz = (F.get(f"__c{a}", j if isinstance(j, Column) else F.lit(j)) for a in range(3))
-        d = squared_distance(F.col("x"), F.col("y"), F.col("z"), cx, cy, cz)
-        return F.struct(d.alias("d"), cx.alias("x"), cy.alias("y"), cz.alias("z"), (j if isinstance(j, Column) else F.lit(j)).alias("j"))
+    def option(xyz: list[Column], j: Column) -> Column:
+        d = squared_distance(F.col("x"), F.col("y"), F.col("z"), *xyz)
+        return F.struct(d.alias("d"), *[v.alias(c) for v, c in zip(xyz, "xyz", strict=True)], j.alias("j"))
 
     if k <= UNROLLED:
-        best = F.least(*[option(j) for j in range(k)])
-    else:
-        best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), option))
-    return rows.withColumn("cluster", best["j"]).drop("__c0", "__c1", "__c2")
+        options = [option([F.lit(v).cast(kind) for v in c], F.lit(j)) for j, c in enumerate(centroids)]
+        return points.withColumn("cluster", F.least(*options)["j"])
+    axes = [F.array(*[F.lit(c[a]).cast(kind) for c in centroids]).alias(f"__c{a}") for a in range(3)]
+    # one row
+    rows = points.crossJoin(F.broadcast(points.sparkSession.range(1).select(*axes)))
+    each = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: option([F.get(f"__c{a}", j) for a in range(3)], j))
+    return rows.withColumn("cluster", F.array_min(each)["j"]).drop("__c0", "__c1", "__c2")
 
 
 def centroid_sums(assigned: DataFrame) -> DataFrame:
