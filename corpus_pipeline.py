@@ -13,29 +13,37 @@ from lumenfold.llm.common import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in one of the languages of the labelled documents; those without a letter are in none."""
+    """Keeps documents in one of the languages of the labelled documents, whatever their doc_id. Null, empty and letterless
+    texts are in none and go; without labels all go, with one label all with letters stay; repeated rows are judged each
+    and alike; an empty table gives an empty one; other columns pass unread."""
     model = string_kernel.train(docs)
     out = string_kernel.classify(docs, model, docs.columns, "__pred", "__score", reject=True)
     return out.where(F.col("__pred") != string_kernel.UNKNOWN).drop("__pred", "__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of documents that share 80 % of their 5-word shingles."""
+    """Keeps one document of each component of documents that share 80 % of their 5-word shingles: that of least doc_id,
+    those without one last, ties by a hash of the text; of equal rows one. Null and empty texts, if any come, are near
+    nothing and stay; a doc_id with several texts keeps each that is near no other; an empty table gives an empty one."""
     return near_duplicates.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks the secrets in every text."""
+    """Masks the secrets in every text, overlapping ones together, and sets n_chars to match. Null texts stay null; texts
+    without a secret stay as they are; repeated rows are masked each; an empty table gives an empty one."""
     return secrets.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights."""
+    """Repeats or leaves out documents so that sources meet their target weights, no document over twice. Null sources are
+    one source; documents without a word stay once; ties of the hash order are cut by a hash of the text; an empty table
+    gives an empty one."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens, cut and packed into sequences: a row per piece."""
+    """Tokens, cut and packed into sequences: a row per piece. Null and empty texts are the end id alone; repeated rows are
+    packed each; long texts are cut, never shortened; an empty table gives no rows."""
     return packing.packed(docs)
 
 
