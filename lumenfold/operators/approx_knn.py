@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from ..schema import check_k, validated
 from .neighbours import distinct_places, equalize, nearest, prefixed
-from .voxel import CELL, Grid, cell_counts, cell_pairs
+from .voxel import CELL, Grid, cell_counts, cell_pairs, spread
 
 MAX_RADIUS = 50
 LADDER = (2, 4, 8, 16, 32, MAX_RADIUS)
@@ -21,15 +21,14 @@ FEW_OPEN, FEW_CELLS = 2048, 32768
 
 
 def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFrame:
-    """gx, gy, gz, stop for every cell of counts (gx, gy, gz, n)."""
-    counts = staged(counts, "cells")
+    """gx, gy, gz, stop for every cell of counts (gx, gy, gz, n), which is read more than once."""
     open_cells, found = counts.select(*CELL), []
     first = 0 if include_home else 1
     cells = n_open = counts.count()
     for radius in LADDER:
         if n_open <= FEW_OPEN and cells <= FEW_CELLS:
             radius = MAX_RADIUS
-        rings = cell_pairs(open_cells, counts, radius).where(F.col("ring") >= first).groupBy("c_gx", "c_gy", "c_gz", "ring").agg(F.sum("o_n").alias("n"))
+        rings = cell_pairs(open_cells, counts, radius, n_open).where(F.col("ring") >= first).groupBy("c_gx", "c_gy", "c_gz", "ring").agg(F.sum("o_n").alias("n"))
         run = F.sum("n").over(Window.partitionBy("c_gx", "c_gy", "c_gz").orderBy("ring"))
         done = rings.withColumn("run", run).where(F.col("run") >= k).groupBy("c_gx", "c_gy", "c_gz").agg(F.min("ring").alias("ring"))
         # the home cell alone counts as ring 1, the first that is searched
@@ -54,23 +53,25 @@ def candidates(points: DataFrame, k: int, voxel_mode: str = "truncated", include
     """Candidate pairs of points (q_ and n_ columns), of equally placed neighbours only those that can rank."""
     grid = Grid.of(points, voxel_mode)
     assigned = grid.assign(points)
-    stops = staged(stop_radii(cell_counts(assigned), k, include_home), "stop-radii")
+    cells = staged(cell_counts(assigned), "cells")
     least = 0 if include_home else 1
-    occupied = staged(assigned.select(*CELL).distinct(), "occupied")
+    occupied = cells.select(*CELL)
     # cells meet in blocks as wide as the step of the ladder that their radius needs
     step = F.lit(MAX_RADIUS)
     for radius in reversed(LADDER[:-1]):
         step = F.when(F.col("stop") <= radius, F.lit(radius)).otherwise(step)
-    stops = stops.withColumn("step", step)
+    stops = staged(stop_radii(cells, k, include_home).withColumn("step", step), "stop-radii")
     pairs = None
-    for row in stops.select("step").distinct().orderBy("step").collect():  # the steps of the ladder at most
-        near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"])
+    for row in stops.groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect():  # the steps of the ladder at most
+        near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"], row["n"])
         near = near.where(F.col("ring").between(least, F.col("c_stop"))).select("c_gx", "c_gy", "c_gz", "o_gx", "o_gy", "o_gz")
         pairs = near if pairs is None else pairs.unionByName(near)
     queries = prefixed(assigned, "q_").withColumnsRenamed({f"q_{c}": f"c_{c}" for c in CELL})
     others = prefixed(grid.assign(distinct_places(points, k)), "n_").withColumnsRenamed({f"n_{c}": f"o_{c}" for c in CELL})
     if pairs is None:
         return queries.join(others, F.lit(False))
+    pairs = staged(pairs, "cell-pairs")
+    pairs = spread(pairs, pairs.count(), *[f"c_{c}" for c in CELL])
     joined = queries.join(pairs, [f"c_{c}" for c in CELL]).join(others, [f"o_{c}" for c in CELL])
     return joined.where(F.col("q_idx") != F.col("n_idx")).drop(*[f"{p}{c}" for p in ("c_", "o_") for c in CELL])
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from ..schema import check_k, is_whole, validated
 from .neighbours import distinct_places, equalize, nearest, prefixed
-from .voxel import bounding_box
+from .voxel import bounding_box, spread
 
 SMALL = 2000
 DENSE = 512
@@ -30,9 +30,9 @@ def _cells(points: DataFrame, low: dict[str, float], size: float, p: str) -> Dat
     return points.withColumns({f"{p}g{c}": F.floor((F.col(f"{p}{c}").cast("double") - low[c]) / size).cast("long") for c in "xyz"})
 
 
-def _within(points: DataFrame, others: DataFrame, low: dict[str, float], size: float) -> DataFrame:
+def _within(points: DataFrame, others: DataFrame, low: dict[str, float], size: float, rows: int) -> DataFrame:
     """Pairs of points (q_) and others (n_) in touching cells; reach: the squared distance from q to the border of the
-    cells that were searched."""
+    cells that were searched. rows: the number of points."""
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
     q = _cells(points, low, size, "q_")
     inside = [F.least(F.col(f"q_{c}").cast("double") - low[c] - (F.col(f"q_g{c}") - 1) * size, (F.col(f"q_g{c}") + 2) * size - (F.col(f"q_{c}").cast("double") - low[c])) for c in "xyz"]
@@ -41,7 +41,7 @@ def _within(points: DataFrame, others: DataFrame, low: dict[str, float], size: f
     for c in "xyz":
         q = q.withColumn("step", F.explode(near)).withColumn(f"g{c}", F.col(f"q_g{c}") + F.col("step")).drop("step", f"q_g{c}")
     n = _cells(others, low, size, "n_").withColumnsRenamed({f"n_g{c}": f"g{c}" for c in "xyz"})
-    return q.join(n, ["gx", "gy", "gz"]).where(F.col("q_idx") != F.col("n_idx")).drop("gx", "gy", "gz")
+    return spread(q, rows * 27, "gx", "gy", "gz").join(n, ["gx", "gy", "gz"]).where(F.col("q_idx") != F.col("n_idx")).drop("gx", "gy", "gz")
 
 
 def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame:
@@ -61,13 +61,13 @@ def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame
         if dense <= DENSE:
             break
         size /= 2
-    left, done = prefixed(points, "q_"), []
+    left, rows, done = prefixed(points, "q_"), box["n"], []
     whole = is_whole(points)
     while True:
         last = size >= extent
         if last:
             size = extent * (1 + 1e-6) + 1
-        found = nearest(_within(left, others, low, size), k, "reach")
+        found = nearest(_within(left, others, low, size, rows), k, "reach")
         found = staged(found, "near")
         if last:
             done.append(found)
@@ -78,7 +78,8 @@ def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame
         sure = staged(sure, "sure")
         done.append(found.join(sure, "idx", "left_semi"))
         left = staged(left.join(sure, F.col("q_idx") == F.col("idx"), "left_anti"), "unsure")
-        if left.isEmpty():
+        rows = left.count()
+        if not rows:
             break
         size *= 2
     out = done[0]

@@ -12,6 +12,8 @@ from ..functions.scalars import cell, chebyshev
 from ..schema import is_whole
 
 CELL = ["gx", "gy", "gz"]
+#: Tables of at most so many rows are spread over all cores before they are joined to many times their size.
+FEW_ROWS = 1 << 20
 
 
 def bounding_box(cloud: DataFrame) -> DataFrame:
@@ -52,15 +54,22 @@ def cell_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy(*CELL).agg(F.count("*").alias("n"))
 
 
-def cell_pairs(cells: DataFrame, others: DataFrame, radius: int) -> DataFrame:
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df over all cores by keys if its rows are few: adaptive execution merges partitions by their bytes, not by the pairs
+    that a join makes of them. More rows are as many partitions anyway, which it may still split where they are skewed."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if rows <= FEW_ROWS else df
+
+
+def cell_pairs(cells: DataFrame, others: DataFrame, radius: int, rows: int) -> DataFrame:
     """Every cell with each other occupied cell within Chebyshev distance `radius`: c_ columns, o_ columns, ring. Both
-    sides meet in blocks of radius cells: a cell looks into the 27 blocks around it, whatever the radius."""
+    sides meet in blocks of radius cells: a cell looks into the 27 blocks around it, whatever the radius. rows: the number
+    of cells, or more."""
     block = {f"b{c}": F.floor(F.col(f"g{c}") / radius).cast("long") for c in "xyz"}
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
     left = cells.withColumns(block)
     for c in "xyz":
         left = left.withColumn(f"s{c}", F.explode(near)).withColumn(f"b{c}", F.col(f"b{c}") + F.col(f"s{c}")).drop(f"s{c}")
-    left = left.select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"c_{c}") for c in cells.columns])
+    left = spread(left.select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"c_{c}") for c in cells.columns]), rows * 27, "bx", "by", "bz")
     right = others.withColumns(block).select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"o_{c}") for c in others.columns])
     ring = chebyshev(*[F.col(f"c_g{c}") - F.col(f"o_g{c}") for c in "xyz"])
     return left.join(right, ["bx", "by", "bz"]).withColumn("ring", ring).where(F.col("ring") <= radius).drop("bx", "by", "bz")

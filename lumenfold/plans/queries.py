@@ -13,7 +13,7 @@ from ..schema import FLOAT_CLOUD_SQL, INT_CLOUD_SQL, float_cloud, int_cloud, typ
 from ..sources import text
 from ..sources.generator import generate_cloud
 from . import benchmark
-from .staging import new_path
+from .staging import new_path, staged
 
 #: Parameters of the headline queries.
 K, CLUSTERS, ROUNDS, UNDERFULL = 16, 16, 5, 10
@@ -131,7 +131,7 @@ def _approx_sql(cloud: str, k: int, grid: str, home: bool = False) -> str:
     return _equalized(cloud, _approx_pairs(home), k, f" {grid}, {_stops_sql(k, home)},", lonely=True)
 
 
-_add("approx_stop_radius", _int(lambda c: approx_knn.stop_radii(voxel.cell_counts(_assigned(c)), K)), f"{_INT_GRID}, {_stops_sql(K)} SELECT gx, gy, gz, stop FROM stops")
+_add("approx_stop_radius", _int(lambda c: approx_knn.stop_radii(staged(voxel.cell_counts(_assigned(c)), "cells"), K)), f"{_INT_GRID}, {_stops_sql(K)} SELECT gx, gy, gz, stop FROM stops")
 _add(
     "approx_candidates",
     _int(lambda c: approx_knn.candidates(typed(c), K).groupBy(F.col("q_idx").alias("idx")).agg(F.count("*").alias("n"))),
