@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from ..schema import check_k, validated
-from .neighbours import distinct_places, equalize, nearest, prefixed
+from .neighbours import distinct_places, equalize, listed, nearest, others_of, queries_of
 from .voxel import CELL, Grid, cell_counts, cell_pairs, spread
 
 MAX_RADIUS = 50
@@ -49,11 +49,11 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
     return out
 
 
-def candidates(points: DataFrame, k: int, voxel_mode: str = "truncated", include_home: bool = False) -> DataFrame:
-    """Candidate pairs of points (q_ and n_ columns), of equally placed neighbours only those that can rank."""
+def candidates(points: DataFrame, places: DataFrame, k: int, voxel_mode: str = "truncated", include_home: bool = False) -> DataFrame:
+    """Pairs of places (q_ columns) and the points (n_ columns) that their points may find. places: from distinct_places,
+    read more than once."""
     grid = Grid.of(points, voxel_mode)
-    assigned = grid.assign(points)
-    cells = staged(cell_counts(assigned), "cells")
+    cells = staged(cell_counts(grid.assign(points)), "cells")
     least = 0 if include_home else 1
     occupied = cells.select(*CELL)
     # cells meet in blocks as wide as the step of the ladder that their radius needs
@@ -66,22 +66,28 @@ def candidates(points: DataFrame, k: int, voxel_mode: str = "truncated", include
         near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"], row["n"])
         near = near.where(F.col("ring").between(least, F.col("c_stop"))).select("c_gx", "c_gy", "c_gz", "o_gx", "o_gy", "o_gz")
         pairs = near if pairs is None else pairs.unionByName(near)
-    queries = prefixed(assigned, "q_").withColumnsRenamed({f"q_{c}": f"c_{c}" for c in CELL})
-    others = prefixed(grid.assign(distinct_places(points, k)), "n_").withColumnsRenamed({f"n_{c}": f"o_{c}" for c in CELL})
+    queries, others = _celled(queries_of(places), grid, "q_", "c_"), _celled(others_of(places), grid, "n_", "o_")
     if pairs is None:
         return queries.join(others, F.lit(False))
     pairs = staged(pairs, "cell-pairs")
     pairs = spread(pairs, pairs.count(), *[f"c_{c}" for c in CELL])
     joined = queries.join(pairs, [f"c_{c}" for c in CELL]).join(others, [f"o_{c}" for c in CELL])
-    return joined.where(F.col("q_idx") != F.col("n_idx")).drop(*[f"{p}{c}" for p in ("c_", "o_") for c in CELL])
+    return joined.drop(*[f"{p}{c}" for p in ("c_", "o_") for c in CELL])
+
+
+def _celled(points: DataFrame, grid: Grid, p: str, to: str) -> DataFrame:
+    """points, whose columns have the prefix p, with the columns of their cells, which have the prefix `to`."""
+    return points.withColumns({f"{to}g{c}": grid.number(F.col(f"{p}{c}")) for c in "xyz"})
 
 
 def approx_neighbours(points: DataFrame, k: int, voxel_mode: str = "truncated", include_home: bool = False) -> DataFrame:
-    return nearest(candidates(points, k, voxel_mode, include_home), k)
+    """points with found, the k nearest of their candidates in order."""
+    places = staged(distinct_places(points, k), "places")
+    return listed(points, places, nearest(candidates(points, places, k, voxel_mode, include_home), k), k)
 
 
 def equalize_approx_knn(cloud: DataFrame, k: int, voxel_mode: str = "truncated", include_home_voxel: bool = False) -> DataFrame:
     """cloud with new_intensity. A point without candidates keeps its intensity."""
     check_k(k)
     points = validated(cloud)
-    return equalize(points, approx_neighbours(points, k, voxel_mode, include_home_voxel), k, keep_lonely=True)
+    return equalize(approx_neighbours(points, k, voxel_mode, include_home_voxel), k, keep_lonely=True)

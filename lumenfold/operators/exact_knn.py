@@ -1,8 +1,8 @@
 """Exact KNN.
 
 Up to SMALL points (counted), every pair is ranked against a broadcast copy. Beyond that, the search goes by grids of
-doubling cell size: a point looks at the 27 cells around it and is done once its k-th neighbour is no farther than the
-border of these cells. Points that are not done, those in sparse surroundings, go on to the next grid, where a cell
+doubling cell size: a place looks at the 27 cells around it and is done once its last neighbour is no farther than the
+border of these cells. Places that are not done, those in sparse surroundings, go on to the next grid, where a cell
 holds eight of the former; in the last one the 27 cells hold the whole cloud. The first grid is made finer until no cell
 holds more than DENSE distinct places, so that dense parts are searched at a scale of their own."""
 
@@ -13,71 +13,64 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from ..schema import check_k, is_whole, validated
-from .neighbours import distinct_places, equalize, nearest, prefixed
+from .neighbours import PLACE, distinct_places, equalize, listed, nearest, others_of, queries_of
 from .voxel import bounding_box, spread
 
 SMALL = 2000
 DENSE = 512
 
 
-def all_pairs(points: DataFrame, k: int) -> DataFrame:
-    """For SMALL points at most."""
-    others = F.broadcast(prefixed(distinct_places(points, k), "n_"))
-    return prefixed(points, "q_").join(others, F.col("q_idx") != F.col("n_idx"))
+def all_pairs(places: DataFrame) -> DataFrame:
+    """Every place with every point, for SMALL points at most."""
+    return spread(queries_of(places), SMALL, "q_idx").crossJoin(F.broadcast(others_of(places)))
 
 
 def _cells(points: DataFrame, low: dict[str, float], size: float, p: str) -> DataFrame:
     return points.withColumns({f"{p}g{c}": F.floor((F.col(f"{p}{c}").cast("double") - low[c]) / size).cast("long") for c in "xyz"})
 
 
-def _within(points: DataFrame, others: DataFrame, low: dict[str, float], size: float, rows: int) -> DataFrame:
-    """Pairs of points (q_) and others (n_) in touching cells; reach: the squared distance from q to the border of the
-    cells that were searched. rows: the number of points."""
+def _within(places: DataFrame, others: DataFrame, low: dict[str, float], size: float, rows: int) -> DataFrame:
+    """Pairs of places (q_) and points (n_) in touching cells; reach: the squared distance from q to the border of the
+    cells that were searched. rows: the number of places."""
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    q = _cells(points, low, size, "q_")
+    q = _cells(places, low, size, "q_")
     inside = [F.least(F.col(f"q_{c}").cast("double") - low[c] - (F.col(f"q_g{c}") - 1) * size, (F.col(f"q_g{c}") + 2) * size - (F.col(f"q_{c}").cast("double") - low[c])) for c in "xyz"]
     # a little less than the border, so that rounding never certifies too much
     q = q.withColumn("reach", F.pow(F.least(*inside) * (1 - 1e-6), F.lit(2)))
     for c in "xyz":
         q = q.withColumn("step", F.explode(near)).withColumn(f"g{c}", F.col(f"q_g{c}") + F.col("step")).drop("step", f"q_g{c}")
     n = _cells(others, low, size, "n_").withColumnsRenamed({f"n_g{c}": f"g{c}" for c in "xyz"})
-    return spread(q, rows * 27, "gx", "gy", "gz").join(n, ["gx", "gy", "gz"]).where(F.col("q_idx") != F.col("n_idx")).drop("gx", "gy", "gz")
+    return spread(q, rows * 27, "gx", "gy", "gz").join(n, ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
 
 
-def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame:
-    box = bounding_box(points).first()
-    if box["n"] <= small:
-        return nearest(all_pairs(points, k), k)
+def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: int) -> DataFrame:
+    """The lists of all places."""
     low = {c: box[f"min_{c}"] for c in "xyz"}
     extent = max(box[f"max_{c}"] - box[f"min_{c}"] for c in "xyz")
     if extent == 0:
         extent = 1.0
-    places = staged(distinct_places(points, k), "places")
-    others = prefixed(places, "n_")
-    size = extent / max(1.0, (box["n"] * 27 / (2 * (k + 1))) ** (1 / 3))
+    others, left = others_of(places), queries_of(places)
+    size = extent / max(1.0, (places.count() * 27 / (2 * (k + 1))) ** (1 / 3))
     finest = extent / 2**20
     while size > finest:
-        dense = _cells(others, low, size, "n_").groupBy("n_gx", "n_gy", "n_gz").agg(F.countDistinct("n_x", "n_y", "n_z").alias("c")).agg(F.max("c")).first()[0]
+        dense = _cells(left, low, size, "q_").groupBy("q_gx", "q_gy", "q_gz").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
         if dense <= DENSE:
             break
         size /= 2
-    left, rows, done = prefixed(points, "q_"), box["n"], []
-    whole = is_whole(points)
+    rows, done = left.count(), []
+    # whole coordinates give whole squared distances; floats are compared with a margin for their rounding
+    limit = F.col("reach") if is_whole(points) else F.col("reach") * (1 - 1e-4)
+    sure = (F.size("found") == k + 1) & (F.element_at("found", -1)["d"] < limit)
     while True:
         last = size >= extent
         if last:
             size = extent * (1 + 1e-6) + 1
-        found = nearest(_within(left, others, low, size, rows), k, "reach")
-        found = staged(found, "near")
+        found = staged(nearest(_within(left, others, low, size, rows), k, "reach"), "near")
         if last:
             done.append(found)
             break
-        # whole coordinates give whole squared distances; floats are compared with a margin for their rounding
-        limit = F.col("reach") if whole else F.col("reach") * (1 - 1e-4)
-        sure = found.groupBy("idx").agg(F.max("rn").alias("n"), F.max("d").alias("far"), F.first("reach").alias("reach")).where((F.col("n") == k) & (F.col("far") < limit)).select("idx")
-        sure = staged(sure, "sure")
-        done.append(found.join(sure, "idx", "left_semi"))
-        left = staged(left.join(sure, F.col("q_idx") == F.col("idx"), "left_anti"), "unsure")
+        done.append(found.where(sure))
+        left = found.where(~sure).select("q_idx", *[F.col(c).alias(f"q_{c}") for c in PLACE])
         rows = left.count()
         if not rows:
             break
@@ -85,11 +78,19 @@ def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return out.drop("reach")
+    return out
+
+
+def exact_neighbours(points: DataFrame, k: int, small: int = SMALL) -> DataFrame:
+    """points with found, their k nearest others in order."""
+    box = bounding_box(points).first()
+    places = staged(distinct_places(points, k), "places")
+    lists = nearest(all_pairs(places), k) if box["n"] <= small else _by_grids(points, places, box, k)
+    return listed(points, places, lists, k)
 
 
 def equalize_knn(cloud: DataFrame, k: int) -> DataFrame:
     """cloud with new_intensity."""
     check_k(k)
     points = validated(cloud)
-    return equalize(points, exact_neighbours(points, k), k, keep_lonely=False)
+    return equalize(exact_neighbours(points, k), k, keep_lonely=False)

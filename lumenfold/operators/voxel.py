@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cell, chebyshev
@@ -45,9 +45,12 @@ class Grid:
         size = row["voxel_size"] if row["n"] else 1.0
         return cls(float(max(1, math.trunc(size))), is_whole(cloud)) if mode == "truncated" else cls(size, False)
 
+    def number(self, coordinate: Column) -> Column:
+        return cell(coordinate, self.size, self.whole)
+
     def assign(self, points: DataFrame) -> DataFrame:
         """points with gx, gy, gz."""
-        return points.withColumns({f"g{c}": cell(F.col(c), self.size, self.whole) for c in "xyz"})
+        return points.withColumns({f"g{c}": self.number(F.col(c)) for c in "xyz"})
 
 
 def cell_counts(assigned: DataFrame) -> DataFrame:

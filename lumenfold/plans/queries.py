@@ -99,12 +99,12 @@ _HASH = f"xor(xor(gx * {scalars.HASH_X}, gy * {scalars.HASH_Y}), gz * {scalars.H
 _add("voxel_hash", _int(_hashes), f"{_INT_GRID} SELECT idx, {_HASH} AS cell_hash, {_HASH} & 4294967295 AS cell_hash_32, ({_HASH} & 4294967295) % {scalars.HASH_BUCKETS} AS bucket FROM g")
 
 # --- exact KNN
-_pairs_of = lambda df: df.select("idx", F.col("rn").cast("long").alias("rn"), "n_idx", "d")
+_pairs_of = lambda df: neighbours.neighbour_rows(df).withColumn("rn", F.col("rn").cast("long"))
 _add("exact_knn_neighbors", _int(lambda c: _pairs_of(exact_knn.exact_neighbours(typed(c), K))), f"WITH {_p(INT_CLOUD_SQL)}, {_ranked(_EXACT_PAIRS, K)} SELECT idx, rn, n_idx, d FROM r")
 _add("exact_knn_neighbors_by_grid", _int(lambda c: _pairs_of(exact_knn.exact_neighbours(typed(c), K, small=0))), ORACLES["exact_knn_neighbors"])
 _add(
     "exact_knn_cdf",
-    _int(lambda c: neighbours.neighbourhood_cdf(typed(c), exact_knn.exact_neighbours(typed(c), K)).select("idx", "n", "cdf", "cdf_min")),
+    _int(lambda c: neighbours.neighbourhood_cdf(exact_knn.exact_neighbours(typed(c), K)).select("idx", "n", "cdf", "cdf_min")),
     f"WITH {_p(INT_CLOUD_SQL)}, {_ranked(_EXACT_PAIRS, K)}, {_CDF} SELECT idx, n, cdf, cdf_min FROM cdf",
 )
 _add("exact_knn_equalize_int", _int(lambda c: exact_knn.equalize_knn(c, K)), _equalized(INT_CLOUD_SQL, _EXACT_PAIRS, K))
@@ -132,9 +132,17 @@ def _approx_sql(cloud: str, k: int, grid: str, home: bool = False) -> str:
 
 
 _add("approx_stop_radius", _int(lambda c: approx_knn.stop_radii(staged(voxel.cell_counts(_assigned(c)), "cells"), K)), f"{_INT_GRID}, {_stops_sql(K)} SELECT gx, gy, gz, stop FROM stops")
+def _candidate_counts(c: DataFrame) -> DataFrame:
+    """Of every point with candidates: how many. Of more than K + 1 points at one place only K + 1 are candidates."""
+    points = typed(c)
+    pairs = approx_knn.candidates(points, staged(neighbours.distinct_places(points, K), "places"), K)
+    per_place = pairs.groupBy("q_idx", *[F.col(f"q_{x}").alias(x) for x in neighbours.PLACE]).agg(F.count("*").alias("n"))
+    return points.join(per_place, neighbours.PLACE).select("idx", "n")
+
+
 _add(
     "approx_candidates",
-    _int(lambda c: approx_knn.candidates(typed(c), K).groupBy(F.col("q_idx").alias("idx")).agg(F.count("*").alias("n"))),
+    _int(_candidate_counts),
     f"{_INT_GRID}, {_stops_sql(K)} SELECT q.idx, count(*) AS n {_approx_pairs()} GROUP BY q.idx",
 )
 _add("approx_knn_equalize_int", _int(lambda c: approx_knn.equalize_approx_knn(c, K)), _approx_sql(INT_CLOUD_SQL, K, _grid_sql()))

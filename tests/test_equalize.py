@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import approx_knn, exact_knn, kmeans
+from lumenfold.operators.neighbours import distinct_places, neighbour_rows, queries_of
 from lumenfold.schema import cloud_schema
 
 LATTICE = [(i % 5 - 2, (i // 5) % 5 - 2, (i // 25) % 4 - 2, (i * 53) % 256) for i in range(250)]
@@ -36,8 +37,8 @@ def test_exact_small(spark, points, k):
 @pytest.mark.parametrize("points, k", [(LATTICE, 8), (PLANE, 5), (OUTLIER, 6), (ONE_VOXEL, 2), (scattered(300), 16)])
 def test_exact_by_grid(spark, points, k):
     df = cloud(spark, points).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
-    found = exact_knn.exact_neighbours(df, k, small=0)
-    plain = exact_knn.exact_neighbours(df, k)
+    found = neighbour_rows(exact_knn.exact_neighbours(df, k, small=0))
+    plain = neighbour_rows(exact_knn.exact_neighbours(df, k))
     key = ["idx", "rn", "d", "n_idx"]
     assert sorted(map(tuple, found.select(*key).collect())) == sorted(map(tuple, plain.select(*key).collect()))
 
@@ -77,10 +78,27 @@ def test_empty_cloud(spark):
 def test_coincident_points_stay_bounded(spark):
     points = [(7, 7, 7, i % 256) for i in range(3000)] + scattered(50)
     df = cloud(spark, points).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
-    found = exact_knn.exact_neighbours(df, 4)
+    found = neighbour_rows(exact_knn.exact_neighbours(df, 4)).cache()
     assert found.count() == 4 * len(points)
-    own = [r["n_idx"] for r in found.where("idx = 2999").orderBy("rn").collect()]
-    assert own == [0, 1, 2, 3]
+    own = lambda i: [r["n_idx"] for r in found.where(f"idx = {i}").orderBy("rn").collect()]
+    assert own(2999) == [0, 1, 2, 3] and own(2) == [0, 1, 3, 4]
+
+
+@pytest.mark.parametrize("home", [False, True])
+def test_points_at_one_place(spark, home):
+    points = [(7, 7, 7, i % 256) for i in range(60)] + [(8, 7, 7, i) for i in range(5)] + scattered(40) + [(-3, 2, 1, 9)] * 3
+    random.Random(1).shuffle(points)
+    df = cloud(spark, points)
+    assert values(exact_knn.equalize_knn(df, 6)) == model.exact(points, 6)
+    assert values(approx_knn.equalize_approx_knn(df, 6, include_home_voxel=home)) == model.approx(points, 6, home)
+
+
+def test_no_search_grows_with_the_points_of_a_place(spark):
+    points = [(7, 7, 7, i % 256) for i in range(3000)] + scattered(50)
+    df = cloud(spark, points).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
+    places = distinct_places(df, 4).cache()
+    assert queries_of(places).count() == 51
+    assert exact_knn.all_pairs(places).count() == 51 * 55
 
 
 def test_bad_input(spark):
