@@ -28,7 +28,7 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
     for radius in LADDER:
         if n_open <= FEW_OPEN and cells <= FEW_CELLS:
             radius = MAX_RADIUS
-        rings = cell_pairs(open_cells, counts, radius, n_open).where(F.col("ring") >= first).groupBy("c_gx", "c_gy", "c_gz", "ring").agg(F.sum("o_n").alias("n"))
+        rings = cell_pairs(open_cells, counts, radius, n_open, cells).where(F.col("ring") >= first).groupBy("c_gx", "c_gy", "c_gz", "ring").agg(F.sum("o_n").alias("n"))
         run = F.sum("n").over(Window.partitionBy("c_gx", "c_gy", "c_gz").orderBy("ring"))
         done = rings.withColumn("run", run).where(F.col("run") >= k).groupBy("c_gx", "c_gy", "c_gz").agg(F.min("ring").alias("ring"))
         # the home cell alone counts as ring 1, the first that is searched
@@ -55,7 +55,7 @@ def candidates(points: DataFrame, places: DataFrame, k: int, voxel_mode: str = "
     grid = Grid.of(points, voxel_mode)
     cells = staged(cell_counts(grid.assign(points)), "cells")
     least = 0 if include_home else 1
-    occupied = cells.select(*CELL)
+    occupied, n_cells = cells.select(*CELL), cells.count()
     # cells meet in blocks as wide as the step of the ladder that their radius needs
     step = F.lit(MAX_RADIUS)
     for radius in reversed(LADDER[:-1]):
@@ -63,7 +63,7 @@ def candidates(points: DataFrame, places: DataFrame, k: int, voxel_mode: str = "
     stops = staged(stop_radii(cells, k, include_home).withColumn("step", step), "stop-radii")
     pairs = None
     for row in stops.groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect():  # the steps of the ladder at most
-        near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"], row["n"])
+        near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"], row["n"], n_cells)
         near = near.where(F.col("ring").between(least, F.col("c_stop"))).select("c_gx", "c_gy", "c_gz", "o_gx", "o_gy", "o_gz")
         pairs = near if pairs is None else pairs.unionByName(near)
     queries, others = _celled(queries_of(places), grid, "q_", "c_"), _celled(others_of(places), grid, "n_", "o_")

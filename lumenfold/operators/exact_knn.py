@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from ..schema import check_k, is_whole, validated
 from .neighbours import PLACE, distinct_places, equalize, listed, nearest, others_of, queries_of
-from .voxel import bounding_box, spread
+from .voxel import bounding_box, fits, spread
 
 SMALL = 2000
 DENSE = 512
@@ -29,18 +29,19 @@ def _cells(points: DataFrame, low: dict[str, float], size: float, p: str) -> Dat
     return points.withColumns({f"{p}g{c}": F.floor((F.col(f"{p}{c}").cast("double") - low[c]) / size).cast("long") for c in "xyz"})
 
 
-def _within(places: DataFrame, others: DataFrame, low: dict[str, float], size: float, rows: int) -> DataFrame:
+def _within(places: DataFrame, others: DataFrame, low: dict[str, float], size: float, rows: int, few: bool) -> DataFrame:
     """Pairs of places (q_) and points (n_) in touching cells; reach: the squared distance from q to the border of the
-    cells that were searched. rows: the number of places."""
+    cells that were searched. rows: the number of places; few: whether others may be broadcast."""
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    q = _cells(places, low, size, "q_")
+    # spread by place, the pairs are ranked where they are made
+    q = _cells(spread(places, rows, "q_idx") if few else places, low, size, "q_")
     inside = [F.least(F.col(f"q_{c}").cast("double") - low[c] - (F.col(f"q_g{c}") - 1) * size, (F.col(f"q_g{c}") + 2) * size - (F.col(f"q_{c}").cast("double") - low[c])) for c in "xyz"]
     # a little less than the border, so that rounding never certifies too much
     q = q.withColumn("reach", F.pow(F.least(*inside) * (1 - 1e-6), F.lit(2)))
     for c in "xyz":
         q = q.withColumn("step", F.explode(near)).withColumn(f"g{c}", F.col(f"q_g{c}") + F.col("step")).drop("step", f"q_g{c}")
     n = _cells(others, low, size, "n_").withColumnsRenamed({f"n_g{c}": f"g{c}" for c in "xyz"})
-    return spread(q, rows * 27, "gx", "gy", "gz").join(n, ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
+    return q.join(F.broadcast(n) if few else n, ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
 
 
 def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: int) -> DataFrame:
@@ -50,7 +51,8 @@ def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: in
     if extent == 0:
         extent = 1.0
     others, left = others_of(places), queries_of(places)
-    size = extent / max(1.0, (places.count() * 27 / (2 * (k + 1))) ** (1 / 3))
+    n = places.count()
+    size = extent / max(1.0, (n * 27 / (2 * (k + 1))) ** (1 / 3))
     finest = extent / 2**20
     while size > finest:
         dense = _cells(left, low, size, "q_").groupBy("q_gx", "q_gy", "q_gz").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
@@ -65,7 +67,7 @@ def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: in
         last = size >= extent
         if last:
             size = extent * (1 + 1e-6) + 1
-        found = staged(nearest(_within(left, others, low, size, rows), k, "reach"), "near")
+        found = staged(nearest(_within(left, others, low, size, rows, fits(n)), k, "reach"), "near")
         if last:
             done.append(found)
             break

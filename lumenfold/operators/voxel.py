@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cell, chebyshev
+from ..plans.staging import BROADCAST_BYTES
 from ..schema import is_whole
 
 CELL = ["gx", "gy", "gz"]
 #: Tables of at most so many rows are spread over all cores before they are joined to many times their size.
 FEW_ROWS = 1 << 20
+#: Of a point or cell with its keys, at most.
+ROW_BYTES = 64
 
 
 def bounding_box(cloud: DataFrame) -> DataFrame:
@@ -63,16 +66,24 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if rows <= FEW_ROWS else df
 
 
-def cell_pairs(cells: DataFrame, others: DataFrame, radius: int, rows: int) -> DataFrame:
+def fits(rows: int) -> bool:
+    """Whether so many counted points or cells may be broadcast."""
+    return rows * ROW_BYTES <= BROADCAST_BYTES
+
+
+def cell_pairs(cells: DataFrame, others: DataFrame, radius: int, rows: int, n_others: int) -> DataFrame:
     """Every cell with each other occupied cell within Chebyshev distance `radius`: c_ columns, o_ columns, ring. Both
-    sides meet in blocks of radius cells: a cell looks into the 27 blocks around it, whatever the radius. rows: the number
-    of cells, or more."""
+    sides meet in blocks of radius cells: a cell looks into the 27 blocks around it, whatever the radius. rows and n_others:
+    the numbers of cells and others, or more."""
     block = {f"b{c}": F.floor(F.col(f"g{c}") / radius).cast("long") for c in "xyz"}
     near = F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)])
-    left = cells.withColumns(block)
+    few = fits(n_others)
+    # spread by cell, what follows per cell needs no other shuffle, and no core gets more than its share of a block
+    left = (spread(cells, rows, *CELL) if few else cells).withColumns(block)
     for c in "xyz":
         left = left.withColumn(f"s{c}", F.explode(near)).withColumn(f"b{c}", F.col(f"b{c}") + F.col(f"s{c}")).drop(f"s{c}")
-    left = spread(left.select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"c_{c}") for c in cells.columns]), rows * 27, "bx", "by", "bz")
+    left = left.select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"c_{c}") for c in cells.columns])
     right = others.withColumns(block).select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"o_{c}") for c in others.columns])
+    right = F.broadcast(right) if few else right
     ring = chebyshev(*[F.col(f"c_g{c}") - F.col(f"o_g{c}") for c in "xyz"])
     return left.join(right, ["bx", "by", "bz"]).withColumn("ring", ring).where(F.col("ring") <= radius).drop("bx", "by", "bz")
