@@ -4,8 +4,8 @@ import model
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import approx_knn, exact_knn, kmeans
-from lumenfold.operators.neighbours import distinct_places, neighbour_rows, queries_of
+from lumenfold.operators import approx_knn, exact_knn, kmeans, voxel
+from lumenfold.operators.neighbours import distinct_places, equalize, neighbour_rows, queries_of
 from lumenfold.schema import cloud_schema
 
 LATTICE = [(i % 5 - 2, (i // 5) % 5 - 2, (i // 25) % 4 - 2, (i * 53) % 256) for i in range(250)]
@@ -93,6 +93,15 @@ def test_points_at_one_place(spark, home):
     assert values(approx_knn.equalize_approx_knn(df, 6, include_home_voxel=home)) == model.approx(points, 6, home)
 
 
+def test_shuffled_joins_agree(spark, monkeypatch):
+    monkeypatch.setattr(voxel, "ROW_BYTES", 1 << 30)
+    assert not voxel.fits(100)
+    df = cloud(spark, OUTLIER)
+    points = df.select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
+    assert values(equalize(exact_knn.exact_neighbours(points, 6, small=0), 6, keep_lonely=False)) == model.exact(OUTLIER, 6)
+    assert values(approx_knn.equalize_approx_knn(df, 4)) == model.approx(OUTLIER, 4)
+
+
 def test_no_search_grows_with_the_points_of_a_place(spark):
     points = [(7, 7, 7, i % 256) for i in range(3000)] + scattered(50)
     df = cloud(spark, points).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
