@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import shuffled, staged
 from ..schema import check_k, validated
 from .neighbours import distinct_places, equalize, listed, nearest, others_of, queries_of
-from .voxel import CELL, Grid, cell_counts, cell_pairs, spread
+from .voxel import CELL, Grid, cell_counts, cell_pairs, fits, spread
 
 MAX_RADIUS = 50
 LADDER = (2, 4, 8, 16, 32, MAX_RADIUS)
@@ -35,7 +35,7 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
         stop = F.least(F.greatest("ring", F.lit(1)) * 2, F.lit(MAX_RADIUS)).cast("int")
         done = staged(done.select(*[F.col(f"c_{c}").alias(c) for c in CELL], stop.alias("stop")), "stops")
         found.append(done)
-        open_cells = open_cells.join(done, CELL, "left_anti")
+        open_cells = open_cells.join(shuffled(done), CELL, "left_anti")
         if radius == MAX_RADIUS:
             found.append(open_cells.withColumn("stop", F.lit(MAX_RADIUS)))
             break
@@ -71,7 +71,8 @@ def candidates(points: DataFrame, places: DataFrame, k: int, voxel_mode: str = "
         return queries.join(others, F.lit(False))
     pairs = staged(pairs, "cell-pairs")
     pairs = spread(pairs, pairs.count(), *[f"c_{c}" for c in CELL])
-    joined = queries.join(pairs, [f"c_{c}" for c in CELL]).join(others, [f"o_{c}" for c in CELL])
+    meet = F.broadcast if fits(places.count()) else shuffled
+    joined = pairs.join(meet(queries), [f"c_{c}" for c in CELL]).join(meet(others), [f"o_{c}" for c in CELL])
     return joined.drop(*[f"{p}{c}" for p in ("c_", "o_") for c in CELL])
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import shuffled, staged
 from ..schema import check_k, is_whole, validated
 from .neighbours import PLACE, distinct_places, equalize, listed, nearest, others_of, queries_of
 from .voxel import bounding_box, fits, spread
@@ -41,7 +41,7 @@ def _within(places: DataFrame, others: DataFrame, low: dict[str, float], size: f
     for c in "xyz":
         q = q.withColumn("step", F.explode(near)).withColumn(f"g{c}", F.col(f"q_g{c}") + F.col("step")).drop("step", f"q_g{c}")
     n = _cells(others, low, size, "n_").withColumnsRenamed({f"n_g{c}": f"g{c}" for c in "xyz"})
-    return q.join(F.broadcast(n) if few else n, ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
+    return q.join(F.broadcast(n) if few else shuffled(n), ["gx", "gy", "gz"]).drop("gx", "gy", "gz")
 
 
 def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import shuffled
 from .approx_knn import equalize_approx_knn
 from .exact_knn import equalize_knn
 from .kmeans import equalize_kmeans
@@ -31,7 +32,7 @@ def equalizer(algo: str, k: int, rounds: int = 50, voxel_mode: str = "truncated"
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """idx, a, b: the new intensities of two results, point by point."""
     left = a.select("idx", F.col("new_intensity").alias("a"))
-    return left.join(b.select("idx", F.col("new_intensity").alias("b")), "idx")
+    return left.join(shuffled(b.select("idx", F.col("new_intensity").alias("b"))), "idx")
 
 
 def mean_absolute_error(a: DataFrame, b: DataFrame) -> DataFrame:

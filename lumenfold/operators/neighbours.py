@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import equalized, squared_distance
-from ..plans.staging import staged
+from ..plans.staging import shuffled, staged
 
 PLACE = ["x", "y", "z"]
 #: Places of more than a HOT-th of all points, fewer than HOT, get their lists by a broadcast table.
@@ -51,13 +51,13 @@ def listed(points: DataFrame, places: DataFrame, lists: DataFrame, k: int) -> Da
     """points with found: d, n_idx and n_intensity of each one's k nearest others. places: from distinct_places, read more
     than once; lists: from nearest."""
     lists = lists.select(*PLACE, "found")
-    out = points.join(lists, PLACE, "left")
+    out = points.join(shuffled(lists), PLACE, "left")
     if not places.where(F.col("nth") > k).isEmpty():
         least = max(k, points.count() // HOT)
         crowded = points.groupBy(*PLACE).agg(F.count("*").alias("n")).where(F.col("n") > least).select(*PLACE)
         crowded, lists = F.broadcast(staged(crowded, "crowded")), staged(lists, "place-lists")
         hot = points.join(crowded, PLACE, "left_semi").join(F.broadcast(lists.join(crowded, PLACE, "left_semi")), PLACE, "left")
-        out = points.join(crowded, PLACE, "left_anti").join(lists, PLACE, "left").unionByName(hot)
+        out = points.join(crowded, PLACE, "left_anti").join(shuffled(lists), PLACE, "left").unionByName(hot)
     found = F.slice(F.filter("found", lambda e: e["n_idx"] != F.col("idx")), 1, k)
     return out.select(*points.columns, F.coalesce(found, F.array().cast(lists.schema["found"].dataType)).alias("found"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cell, chebyshev
-from ..plans.staging import BROADCAST_BYTES
+from ..plans.staging import BROADCAST_BYTES, shuffled
 from ..schema import is_whole
 
 CELL = ["gx", "gy", "gz"]
@@ -84,6 +84,6 @@ def cell_pairs(cells: DataFrame, others: DataFrame, radius: int, rows: int, n_ot
         left = left.withColumn(f"s{c}", F.explode(near)).withColumn(f"b{c}", F.col(f"b{c}") + F.col(f"s{c}")).drop(f"s{c}")
     left = left.select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"c_{c}") for c in cells.columns])
     right = others.withColumns(block).select(*[F.col(f"b{c}") for c in "xyz"], *[F.col(c).alias(f"o_{c}") for c in others.columns])
-    right = F.broadcast(right) if few else right
+    right = F.broadcast(right) if few else shuffled(right)
     ring = chebyshev(*[F.col(f"c_g{c}") - F.col(f"o_g{c}") for c in "xyz"])
     return left.join(right, ["bx", "by", "bz"]).withColumn("ring", ring).where(F.col("ring") <= radius).drop("bx", "by", "bz")

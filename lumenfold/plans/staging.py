@@ -54,6 +54,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides. Without it Spark broadcasts a side by the bytes of its compressed files, which
+    say little of its rows: 640,000 cells take under 10 MB of Parquet and more than a driver's heap as a broadcast table."""
+    return df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows fit in limit bytes, else df as it is, for a shuffled join.
     df should be cheap to count, such as a staged table."""

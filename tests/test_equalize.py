@@ -4,7 +4,7 @@ import model
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import approx_knn, exact_knn, kmeans, voxel
+from lumenfold.operators import approx_knn, exact_knn, kmeans, metrics, voxel
 from lumenfold.operators.neighbours import distinct_places, equalize, neighbour_rows, queries_of
 from lumenfold.schema import cloud_schema
 
@@ -127,3 +127,24 @@ def test_range_and_monotony(spark):
     for c in range(5):
         own = sorted((r["intensity"], r["new_intensity"]) for r in out if r["cluster"] == c)
         assert [b for _, b in own] == sorted(b for _, b in own)
+
+
+def test_tables_too_large_by_count_are_never_broadcast(spark, monkeypatch):
+    # with few bytes of rows as the limit, Spark's own threshold must not choose broadcasts by the bytes of the files
+    monkeypatch.setattr(voxel, "ROW_BYTES", 1 << 30)
+    points = cloud(spark, OUTLIER).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        cells = voxel.cell_counts(voxel.Grid.of(points).assign(points)).cache()
+        searched = [
+            approx_knn.candidates(points, distinct_places(points, 4).cache(), 4),
+            voxel.cell_pairs(cells.select(*voxel.CELL), cells, 2, 101, 101),
+            exact_knn.exact_neighbours(points, 4, small=0),
+            metrics.aligned(*[points.withColumn("new_intensity", F.col("intensity"))] * 2),
+        ]
+        for df in searched:
+            df.collect()
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
