@@ -9,17 +9,25 @@ sums per partition."""
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import equalized, squared_distance
 from ..plans.staging import BROADCAST_BYTES, staged
 from ..schema import check_k, is_whole, validated
 
 Centroids = list[tuple]
-#: Up to so many centroids the nearest one is found by generated code, beyond by a function over an array.
+#: Up to so many centroids the nearest one is found by generated code, beyond by array arithmetic in Python workers.
 UNROLLED = 48
+#: Points that are compared with all centroids at once.
+CHUNK = 4096
+#: Points of a file that is read in every round.
+PART = 1 << 18
 
 
 def seeds(points: DataFrame, k: int) -> Centroids:
@@ -43,11 +51,63 @@ def assigned_to(points: DataFrame, centroids: Centroids) -> DataFrame:
     if k <= UNROLLED:
         options = [option([F.lit(v).cast(kind) for v in c], F.lit(j)) for j, c in enumerate(centroids)]
         return points.withColumn("cluster", F.least(*options)["j"])
-    axes = [F.array(*[F.lit(c[a]).cast(kind) for c in centroids]).alias(f"__c{a}") for a in range(3)]
-    # one row
-    rows = points.crossJoin(F.broadcast(points.sparkSession.range(1).select(*axes)))
-    each = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: option([F.get(f"__c{a}", j) for a in range(3)], j))
-    return rows.withColumn("cluster", F.array_min(each)["j"]).drop("__c0", "__c1", "__c2")
+    number = _numbering(centroids, kind == "long")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("cluster", pa.array(number(batch), pa.int32()))
+
+    schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType(), False)])
+    return points.mapInArrow(assign, schema)
+
+
+def _numbering(centroids: Centroids, whole: bool) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """The function that gives the number of the nearest centroid of each point of a batch, in the types and the order of
+    operations of squared_distance."""
+    kind = np.int64 if whole else np.float32
+    # in the order of ties, so that the first of the nearest decides
+    ranked = sorted(range(len(centroids)), key=lambda j: (*centroids[j], j))
+    numbers, axes = np.asarray(ranked, np.int32), np.asarray([centroids[j] for j in ranked], kind).T
+
+    def number(batch: pa.RecordBatch) -> np.ndarray:
+        xyz = [batch.column(c).to_numpy(zero_copy_only=False).astype(kind) for c in "xyz"]
+        if whole and any(np.abs(v).max(initial=0) >= 1 << 30 for v in [*xyz, axes]):
+            raise OverflowError("squared distances of these coordinates exceed 64 bits")
+        out = np.empty(batch.num_rows, np.int32)
+        for lo in range(0, batch.num_rows, CHUNK):
+            d = 0
+            for v, c in zip(xyz, axes, strict=True):
+                step = v[lo : lo + CHUNK, None] - c
+                d = d + step * step
+            if not whole:  # as Spark orders it, nothing is farther
+                d = np.where(np.isnan(d), np.float32(np.inf), d)
+            out[lo : lo + CHUNK] = numbers[d.argmin(axis=1)]
+        return out
+
+    return number
+
+
+def round_sums(points: DataFrame, centroids: Centroids) -> DataFrame:
+    """centroid_sums of the points' nearest centroids. Beyond UNROLLED centroids a batch is summed where it is assigned."""
+    points = points.select("x", "y", "z")
+    if len(centroids) <= UNROLLED:
+        return centroid_sums(assigned_to(points, centroids))
+    whole = is_whole(points)
+    number, k, kind = _numbering(centroids, whole), len(centroids), np.int64 if whole else np.float64
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums = np.zeros(k, np.int64), np.zeros((3, k), kind)
+        for batch in batches:
+            own = number(batch)
+            n += np.bincount(own, minlength=k)
+            for a, c in enumerate("xyz"):
+                np.add.at(sums[a], own, batch.column(c).to_numpy(zero_copy_only=False).astype(kind))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), *[pa.array(v[some]) for v in sums]], names=["cluster", "n", "sx", "sy", "sz"])
+
+    total = "long" if whole else "double"
+    parts = points.mapInArrow(add, f"cluster int, n long, sx {total}, sy {total}, sz {total}")
+    return parts.groupBy("cluster").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sz")])
 
 
 def centroid_sums(assigned: DataFrame) -> DataFrame:
@@ -72,7 +132,7 @@ def centroids_after(points: DataFrame, k: int, moves: int) -> Centroids:
     whole = is_whole(points)
     centroids = seeds(points, k)
     for _ in range(moves):
-        new = moved(centroids, centroid_sums(assigned_to(points.select("x", "y", "z"), centroids)).collect(), whole)
+        new = moved(centroids, round_sums(points, centroids).collect(), whole)
         if new == centroids:  # from here on nothing changes
             break
         centroids = new
@@ -85,7 +145,9 @@ def clustered(points: DataFrame, k: int, rounds: int) -> DataFrame:
         raise ValueError("rounds must be 0 or more")
     if rounds == 0:
         return points.withColumn("cluster", F.lit(0))
-    points = staged(points, "kmeans-points")
+    # every round reads the points: files of equal size keep all cores busy, whatever the files of the cloud
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, points.count() // PART)
+    points = staged(points.repartition(parts), "kmeans-points")
     return assigned_to(points, centroids_after(points, k, rounds - 1))
 
 

@@ -148,3 +148,15 @@ def test_tables_too_large_by_count_are_never_broadcast(spark, monkeypatch):
             assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("kind", ["long", "float"])
+def test_many_centroids_are_compared_in_python_as_in_sql(spark, monkeypatch, kind):
+    # ties between centroids, at one place too
+    df = cloud(spark, LATTICE + scattered(100)).select("idx", *[F.col(c).cast(kind) for c in "xyz"], "intensity")
+    seeds = [*kmeans.seeds(df, 60), *kmeans.seeds(df, 20)]
+    many, sums = kmeans.assigned_to(df, seeds), kmeans.round_sums(df, seeds)
+    assert "MapInArrow" in many._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(kmeans, "UNROLLED", 100)
+    assert values(many, "cluster") == values(kmeans.assigned_to(df, seeds), "cluster")
+    assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, kmeans.centroid_sums(kmeans.assigned_to(df, seeds)).collect()))
