@@ -1,7 +1,8 @@
 """Exact KNN.
 
 Up to SMALL points (counted), every pair is ranked against a broadcast copy. Beyond that, the search goes by grids of
-doubling cell size: a place looks at the 27 cells around it and is done once its last neighbour is no farther than the
+doubling cell size. First tiles of a bounded number of places are searched each in a task, which does for all places but
+those in sparse surroundings. Then a place looks at the 27 cells around it and is done once its last neighbour is no farther than the
 border of these cells. Places that are not done, those in sparse surroundings, go on to the next grid, where a cell
 holds eight of the former; in the last one the 27 cells hold the whole cloud. The first grid is made finer until no cell
 holds more than DENSE distinct places, so that dense parts are searched at a scale of their own."""
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import shuffled, staged
 from ..schema import check_k, is_whole, validated
+from . import tiles
 from .neighbours import PLACE, distinct_places, equalize, listed, nearest, others_of, queries_of
 from .voxel import bounding_box, fits, spread
 
@@ -51,15 +53,25 @@ def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: in
     if extent == 0:
         extent = 1.0
     others, left = others_of(places), queries_of(places)
+    n = queries_of(places).count()
+    done = []
+    wide, finest = extent / max(1.0, (n / tiles.AIM) ** (1 / 3)), extent / 2**20
+    number = lambda s: {c: F.floor((F.col(c).cast("double") - low[c]) / s) for c in "xyz"}
+    while wide > finest and tiles.largest(places, number(wide)) > tiles.TILE_PLACES:
+        wide /= 2
+    if wide > finest:
+        done = [staged(tiles.exact_lists(places, low, wide, k), "tile-lists")]
+        left = staged(left.join(shuffled(done[0].select("q_idx")), "q_idx", "left_anti"), "left-places")
+        if left.isEmpty():
+            return done[0]
     n = places.count()
     size = extent / max(1.0, (n * 27 / (2 * (k + 1))) ** (1 / 3))
-    finest = extent / 2**20
     while size > finest:
         dense = _cells(left, low, size, "q_").groupBy("q_gx", "q_gy", "q_gz").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
         if dense <= DENSE:
             break
         size /= 2
-    rows, done = left.count(), []
+    rows = left.count()
     # whole coordinates give whole squared distances; floats are compared with a margin for their rounding
     limit = F.col("reach") if is_whole(points) else F.col("reach") * (1 - 1e-4)
     sure = (F.size("found") == k + 1) & (F.element_at("found", -1)["d"] < limit)
@@ -77,9 +89,9 @@ def _by_grids(points: DataFrame, places: DataFrame, box: dict[str, float], k: in
         if not rows:
             break
         size *= 2
-    out = done[0]
+    out = done[0].select("q_idx", *PLACE, "found")
     for x in done[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.select("q_idx", *PLACE, "found"))
     return out
 
 

@@ -4,8 +4,8 @@ import model
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.operators import approx_knn, exact_knn, kmeans, metrics, voxel
-from lumenfold.operators.neighbours import distinct_places, equalize, neighbour_rows, queries_of
+from lumenfold.operators import approx_knn, exact_knn, kmeans, metrics, tiles, voxel
+from lumenfold.operators.neighbours import distinct_places, equalize, nearest, neighbour_rows, queries_of
 from lumenfold.schema import cloud_schema
 
 LATTICE = [(i % 5 - 2, (i // 5) % 5 - 2, (i // 25) % 4 - 2, (i * 53) % 256) for i in range(250)]
@@ -160,3 +160,13 @@ def test_many_centroids_are_compared_in_python_as_in_sql(spark, monkeypatch, kin
     monkeypatch.setattr(kmeans, "UNROLLED", 100)
     assert values(many, "cluster") == values(kmeans.assigned_to(df, seeds), "cluster")
     assert sorted(map(tuple, sums.collect())) == sorted(map(tuple, kmeans.centroid_sums(kmeans.assigned_to(df, seeds)).collect()))
+
+
+def test_tiles_list_the_nearest_without_shuffled_pairs(spark):
+    df = cloud(spark, scattered(600) + [(5, 5, 5, 1)] * 40).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
+    places = distinct_places(df, 4).cache()
+    found = tiles.exact_lists(places, {c: -9999.0 for c in "xyz"}, 10000.0, 4)
+    plain = {r["q_idx"]: r["found"] for r in nearest(exact_knn.all_pairs(places), 4).collect()}
+    rows = found.collect()
+    assert len(rows) > 300 and all(plain[r["q_idx"]] == r["found"] for r in rows)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
