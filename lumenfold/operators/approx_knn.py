@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import shuffled, staged
 from ..schema import check_k, validated
+from . import tiles
 from .neighbours import distinct_places, equalize, listed, nearest, others_of, queries_of
 from .voxel import CELL, Grid, cell_counts, cell_pairs, fits, spread
 
@@ -50,17 +51,26 @@ def stop_radii(counts: DataFrame, k: int, include_home: bool = False) -> DataFra
 
 
 def candidates(points: DataFrame, places: DataFrame, k: int, voxel_mode: str = "truncated", include_home: bool = False) -> DataFrame:
-    """Pairs of places (q_ columns) and the points (n_ columns) that their points may find. places: from distinct_places,
-    read more than once."""
+    grid, stops, n_cells = _stops(points, k, voxel_mode, include_home)
+    return _candidates(places, grid, stops, n_cells, include_home)
+
+
+def _stops(points: DataFrame, k: int, voxel_mode: str, include_home: bool) -> tuple[Grid, DataFrame, int]:
+    """The grid, its cells with stop and step, and their number."""
     grid = Grid.of(points, voxel_mode)
     cells = staged(cell_counts(grid.assign(points)), "cells")
-    least = 0 if include_home else 1
-    occupied, n_cells = cells.select(*CELL), cells.count()
     # cells meet in blocks as wide as the step of the ladder that their radius needs
     step = F.lit(MAX_RADIUS)
     for radius in reversed(LADDER[:-1]):
         step = F.when(F.col("stop") <= radius, F.lit(radius)).otherwise(step)
-    stops = staged(stop_radii(cells, k, include_home).withColumn("step", step), "stop-radii")
+    return grid, staged(stop_radii(cells, k, include_home).withColumn("step", step), "stop-radii"), cells.count()
+
+
+def _candidates(places: DataFrame, grid: Grid, stops: DataFrame, n_cells: int, include_home: bool, beyond: int = 0) -> DataFrame:
+    """Pairs of places (q_ columns) and the points (n_ columns) that their points may find. places: from distinct_places,
+    read more than once. beyond: only places whose search ends farther than so many cells."""
+    least = 0 if include_home else 1
+    occupied, stops = stops.select(*CELL), stops.where(F.col("stop") > beyond)
     pairs = None
     for row in stops.groupBy("step").agg(F.count("*").alias("n")).orderBy("step").collect():  # the steps of the ladder at most
         near = cell_pairs(stops.where(F.col("step") == row["step"]).drop("step"), occupied, row["step"], row["n"], n_cells)
@@ -84,7 +94,13 @@ def _celled(points: DataFrame, grid: Grid, p: str, to: str) -> DataFrame:
 def approx_neighbours(points: DataFrame, k: int, voxel_mode: str = "truncated", include_home: bool = False) -> DataFrame:
     """points with found, the k nearest of their candidates in order."""
     places = staged(distinct_places(points, k), "places")
-    return listed(points, places, nearest(candidates(points, places, k, voxel_mode, include_home), k), k)
+    grid, stops, n_cells = _stops(points, k, voxel_mode, include_home)
+    celled = grid.assign(places).join(F.broadcast(stops) if fits(n_cells) else shuffled(stops), CELL).drop("step")
+    if tiles.largest(celled, tiles.cell_tile()) > tiles.TILE_PLACES:  # too dense for tasks that hold tiles
+        return listed(points, places, nearest(_candidates(places, grid, stops, n_cells, include_home), k), k)
+    lists = staged(tiles.approx_lists(celled, k, 0 if include_home else 1), "tile-lists")
+    more = nearest(_candidates(places, grid, stops, n_cells, include_home, beyond=tiles.HALO), k)
+    return listed(points, places, lists.unionByName(more), k)
 
 
 def equalize_approx_knn(cloud: DataFrame, k: int, voxel_mode: str = "truncated", include_home_voxel: bool = False) -> DataFrame:

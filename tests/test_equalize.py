@@ -170,3 +170,16 @@ def test_tiles_list_the_nearest_without_shuffled_pairs(spark):
     rows = found.collect()
     assert len(rows) > 300 and all(plain[r["q_idx"]] == r["found"] for r in rows)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_approximate_search_moves_points_not_pairs(spark):
+    df = cloud(spark, LATTICE).select("idx", *[F.col(c).cast("long") for c in "xyz"], "intensity")
+    places = distinct_places(df, 8).cache()
+    celled = voxel.Grid.of(df).assign(places).withColumn("stop", F.lit(2)).cache()
+    found = tiles.approx_lists(celled, 8, 1)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    q, n = [r.asDict() for r in celled.where("nth = 1").collect()], [r.asDict() for r in celled.collect()]
+    ring = lambda a, b: max(abs(a[f"g{c}"] - b[f"g{c}"]) for c in "xyz")
+    order = lambda a, b: (sum((a[c] - b[c]) ** 2 for c in "xyz"), b["x"], b["y"], b["z"], b["idx"])
+    want = {a["idx"]: [b["idx"] for b in sorted((b for b in n if 1 <= ring(a, b) <= 2), key=lambda b: order(a, b))[:9]] for a in q}
+    assert {r["q_idx"]: [e["n_idx"] for e in r["found"]] for r in found.collect()} == {i: v for i, v in want.items() if v}
