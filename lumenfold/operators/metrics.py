@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import shuffled
+from ..plans.staging import shuffled, staged
 from .approx_knn import equalize_approx_knn
 from .exact_knn import equalize_knn
 from .kmeans import equalize_kmeans
@@ -29,6 +29,12 @@ def equalizer(algo: str, k: int, rounds: int = 50, voxel_mode: str = "truncated"
     return known[algo]
 
 
+def settled(result: DataFrame, *more: str) -> DataFrame:
+    """idx, the columns that `more` names, and new_intensity of a result, found now and written, so that what is made of several
+    results plans, and finds anew, none of them."""
+    return staged(result.select("idx", *more, "new_intensity"), "result")
+
+
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """idx, a, b: the new intensities of two results, point by point."""
     left = a.select("idx", F.col("new_intensity").alias("a"))
@@ -60,15 +66,14 @@ def overlay(cloud: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
 
 
 def compare(clouds: dict[str, DataFrame], k: int, rounds: int, timed: bool = True) -> DataFrame:
-    """precision, algo, n, mae (against exact KNN of the same precision), elapsed_ms (null unless timed) per cloud."""
+    """precision, algo, n, mae (against exact KNN of the same precision), elapsed_ms (null unless timed; with writing the result)
+    per cloud."""
     out = None
     for precision, cloud in clouds.items():
         results, took = {}, {}
         for algo in (KNN, APPROX, KMEANS):
             start = time.perf_counter()
-            results[algo] = equalizer(algo, k, rounds)(cloud)
-            if timed:
-                results[algo].write.format("noop").mode("overwrite").save()
+            results[algo] = settled(equalizer(algo, k, rounds)(cloud))
             took[algo] = (time.perf_counter() - start) * 1000 if timed else None
         for algo, df in results.items():
             row = mean_absolute_error(df, results[KNN]).select(

@@ -183,3 +183,13 @@ def test_approximate_search_moves_points_not_pairs(spark):
     order = lambda a, b: (sum((a[c] - b[c]) ** 2 for c in "xyz"), b["x"], b["y"], b["z"], b["idx"])
     want = {a["idx"]: [b["idx"] for b in sorted((b for b in n if 1 <= ring(a, b) <= 2), key=lambda b: order(a, b))[:9]] for a in q}
     assert {r["q_idx"]: [e["n_idx"] for e in r["found"]] for r in found.collect()} == {i: v for i, v in want.items() if v}
+
+
+def test_results_that_meet_are_not_searched_again(spark):
+    # the plan of a comparison holds no search of any method, else the driver's plans grow with every result it reads
+    from lumenfold.plans.queries import QUERIES
+
+    for name in ("compare_metrics",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Window", "FlatMapGroups", "Generate", "posexplode", "BroadcastHashJoin")), name
+        assert plan.count("Exchange") <= 30, name
