@@ -204,8 +204,9 @@ _add(
 # --- metrics
 _EXACT_INT, _APPROX_INT, _KMEANS_INT = ORACLES["exact_knn_equalize_int"], ORACLES["approx_knn_equalize_int"], ORACLES["kmeans_equalize_int"]
 _mae_sql = lambda a, b: f"SELECT count(*) AS n, avg(CAST(abs(a.new_intensity - b.new_intensity) AS DOUBLE)) AS mae FROM ({a}) a JOIN ({b}) b USING (idx)"
-_add("mae_approx_vs_exact", _int(lambda c: metrics.mean_absolute_error(approx_knn.equalize_approx_knn(c, K), exact_knn.equalize_knn(c, K))), _mae_sql(_APPROX_INT, _EXACT_INT))
-_add("mae_kmeans_vs_exact", _int(lambda c: metrics.mean_absolute_error(kmeans.equalize_kmeans(c, CLUSTERS, ROUNDS), exact_knn.equalize_knn(c, K))), _mae_sql(_KMEANS_INT, _EXACT_INT))
+_mae = lambda a, b: metrics.mean_absolute_error(metrics.settled(a), metrics.settled(b))
+_add("mae_approx_vs_exact", _int(lambda c: _mae(approx_knn.equalize_approx_knn(c, K), exact_knn.equalize_knn(c, K))), _mae_sql(_APPROX_INT, _EXACT_INT))
+_add("mae_kmeans_vs_exact", _int(lambda c: _mae(kmeans.equalize_kmeans(c, CLUSTERS, ROUNDS), exact_knn.equalize_knn(c, K))), _mae_sql(_KMEANS_INT, _EXACT_INT))
 _compared = [
     (precision, algo, sql, exact)
     for precision, exact, approx, means in (
