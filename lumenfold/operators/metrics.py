@@ -58,9 +58,11 @@ def check_same_points(a: DataFrame, b: DataFrame) -> None:
 
 
 def overlay(cloud: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """idx, x, y, z, value, method: the original intensities and each method's, below one another."""
+    """idx, x, y, z, value, method: the original intensities and each method's, below one another. Results are found once, one
+    after another."""
     out = cloud.select("idx", "x", "y", "z", F.col("intensity").alias("value"), F.lit("original").alias("method"))
     for name, df in results.items():
+        df = settled(df, *"xyz")
         out = out.unionByName(df.select("idx", "x", "y", "z", F.col("new_intensity").alias("value"), F.lit(name).alias("method")))
     return out
 

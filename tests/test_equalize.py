@@ -189,7 +189,7 @@ def test_results_that_meet_are_not_searched_again(spark):
     # the plan of a comparison holds no search of any method, else the driver's plans grow with every result it reads
     from lumenfold.plans.queries import QUERIES
 
-    for name in ("mae_approx_vs_exact", "compare_metrics"):
+    for name in ("mae_approx_vs_exact", "compare_metrics", "overlay_methods"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Window", "FlatMapGroups", "Generate", "posexplode", "BroadcastHashJoin")), name
         assert plan.count("Exchange") <= 30, name
