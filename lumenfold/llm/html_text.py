@@ -13,9 +13,10 @@ more than half of the article, the pages are versions of one another and the art
 
 A host with more than SHARD_BYTES of pages is split into shards by a hash of the tokens, so that no task holds a host.
 Each shard counts its runs, and the counts are added up per host, so shards decide nothing. Where every page of such a host
-holds an article or main tag, a shard leaves out runs on less than half of ARTICLE_SHARE of its pages: what is on
-ARTICLE_SHARE of the host's is on more in each shard, as pages are dealt by a hash (for shards of 100 pages, but for a chance
-under 1e-18). Other large hosts count every run, at the cost of their texts. Pages of which the host has very
+holds an article or main tag, a shard leaves out runs on less than half of ARTICLE_SHARE of its pages. Two bounds of a run's pages
+follow: those that were counted, and as many more as the shards that left it out may have seen. If the share lies between them
+for some run, or if a page turns out to have open blocks only, all runs of the host are counted again, none left out, as in other
+large hosts from the start, at the cost of their texts. Pages of which the host has very
 many equal copies are reduced to one before they move. The runs that decide go to all machines if they are small (counted),
 else they meet their host's pages by shards.
 
@@ -28,6 +29,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -310,8 +312,38 @@ def repeated_runs(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """host, run, n (distinct pages of the host that hold it), pages (distinct pages of the host), for every run of PAGES
     pages or more. rows: host, html."""
     tagless = F.coalesce(~F.regexp("html", F.lit(r"(?i)<(article|main)[\s/>]")) & (F.length("html") > 0), F.lit(False))
-    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("size"), F.max(tagless).alias("open"))
-    large = staged(sizes.select("host", F.ceil(F.col("size") / shard_bytes).alias("shards"), "open").where("shards > 1"), "html-large")
+    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("size"), F.max(tagless).alias("whole"))
+    large = staged(sizes.select("host", F.ceil(F.col("size") / shard_bytes).alias("shards"), "whole").where("shards > 1"), "html-large")
+    found = _counted(rows, large)
+    hosts = _hosts(found)
+    # of the runs of hosts that left some out: the pages that were counted, and the most there can be
+    partial = hosts.where("rest > 0").select("host", "pages", F.col("rest").alias("hidden"))
+    most = F.sum(F.col("n") - F.col("rest")) + F.first("hidden")
+    bounds = found.where("run is not null").join(broadcast_if_small(partial, 128), "host").groupBy("host", "run").agg(F.sum("n").alias("n"), most.alias("most"), F.first("pages").alias("pages"))
+    need = F.greatest(F.lit(float(ARTICLE_PAGES)), ARTICLE_SHARE * F.col("pages"))
+    unsure = bounds.where((F.col("n") < need) & (F.col("most") >= need)).select("host")
+    open_after_all = hosts.where("open and rest > 0").select("host")
+    again = staged(unsure.unionByName(open_after_all).distinct(), "html-again")
+    if not again.isEmpty():
+        few = broadcast_if_small(again, 128)
+        anew = _counted(rows.join(few, "host", "left_semi"), large.join(few, "host", "left_semi").withColumn("whole", F.lit(True)))
+        found = found.join(few, "host", "left_anti").unionByName(anew)
+        hosts = _hosts(found)
+    hot = found.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
+    hot = hot.join(broadcast_if_small(hosts, 128), "host").withColumn("article", (F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages")))
+    return staged(hot.where("open or article").select("host", "run", "n", "pages", "article"), "html-hot")
+
+
+def _hosts(found: DataFrame) -> DataFrame:
+    """host, pages, open (whether a page's text is its open blocks), rest (of all shards), from the rows without a run."""
+    about = found.where("run is null").groupBy("host").agg(F.sum("n").alias("pages"), F.max("open").alias("open"), F.sum("rest").alias("rest"))
+    return staged(about, "html-hosts")
+
+
+def _counted(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """A row per host, shard and run that the shard does not leave out: n, the shard's distinct pages that hold it, and rest, the most
+    pages on which a run that it leaves out may stand; and a row per shard without a run, n being its distinct pages, open whether
+    one of them has open blocks only. large: host, shards, and whether whole: nothing is left out."""
 
     @released
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,25 +359,21 @@ def repeated_runs(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     parsed = _once(rows).mapInArrow(parse, "host string, same long, undecided boolean, text string")
     parsed = parsed.join(broadcast_if_small(large, 128), "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     # pages of equal tokens meet in one shard
-    dealt = parsed.select("host", F.pmod("same", "shards").alias("shard"), "shards", F.coalesce("open", "undecided").alias("open"), "text")
+    dealt = parsed.select("host", F.pmod("same", "shards").alias("shard"), "shards", F.coalesce("whole", F.lit(False)).alias("whole"), "undecided", "text")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         own, n, pages = runs(pa.array(pdf["text"], pa.large_string()))
-        some_open, alone = bool(pdf["open"].any()), pdf["shards"].iloc[0] == 1
-        article = max(ARTICLE_PAGES, ARTICLE_SHARE * pages) if alone else ARTICLE_SHARE * pages / 2
-        least = (PAGES if alone else 1) if some_open else article
+        some_open, split = bool(pdf["undecided"].any()), pdf["shards"].iloc[0] > 1
+        if split:
+            least = 1 if pdf["whole"].iloc[0] else max(1, math.ceil(ARTICLE_SHARE * pages / 2))
+        else:
+            least = PAGES if some_open else max(ARTICLE_PAGES, ARTICLE_SHARE * pages)
         own, n = own[n >= least], n[n >= least]
         out = pd.DataFrame({"run": pd.array(own.view(np.int64), dtype="Int64"), "n": n})
-        # a row without a run: the shard's pages, below 0 if open blocks count
-        about = pd.DataFrame({"run": pd.array([None], dtype="Int64"), "n": [-pages if some_open else pages]})
-        return pd.concat([out, about]).assign(host=pdf["host"].iloc[0])
+        about = pd.DataFrame({"run": pd.array([None], dtype="Int64"), "n": [pages]})
+        return pd.concat([out, about]).assign(host=pdf["host"].iloc[0], open=some_open, rest=least - 1 if split else 0)
 
-    found = staged(dealt.groupBy("host", "shard").applyInPandas(count, "run long, n long, host string"), "html-runs")
-    hosts = found.where("run is null").groupBy("host").agg(F.sum(F.abs("n")).alias("pages"), (F.min("n") < 0).alias("open"))
-    hot = found.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
-    hosts = staged(hosts, "html-hosts")
-    hot = hot.join(broadcast_if_small(hosts, 128), "host").withColumn("article", (F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages")))
-    return staged(hot.where("open or article").select("host", "run", "n", "pages", "article"), "html-hot")
+    return staged(dealt.groupBy("host", "shard").applyInPandas(count, "run long, n long, host string, open boolean, rest long"), "html-runs")
 
 
 def extracted(pages: DataFrame, shard_bytes: int = SHARD_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:

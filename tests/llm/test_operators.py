@@ -613,6 +613,18 @@ def test_unmarked_notice_in_articles_goes(spark):
     assert all(got[100 + i] == f"{want[0]} {shared}\nversion {i} of it" for i in range(20))
 
 
+def test_the_size_of_a_host_decides_nothing(spark):
+    notice = "sign up for our weekly letter and never miss a story again"
+    want = texts(600, 19, 25)
+    # the tag of an article in a menu is none, so these pages have open blocks only
+    rows = [(i, "http://x.org/", f"<nav><article>a</article></nav><div>{want[i]}</div>" + (f"<div>{notice}</div>" if i < 6 else "")) for i in range(60)]
+    # hosts of few pages, a notice in four fifths of their articles, dealt unevenly
+    rows += [(100 + i, f"http://h{i // 12}.org/", f"<article><p>{want[i]}</p>" + (f"<p>{notice}</p>" if i % 12 < 10 else "") + "</article>") for i in range(540)]
+    pages = spark.createDataFrame(rows, PAGES)
+    small, large = ({r["page_id"]: r["text"] for r in html_text.extracted(pages, shard_bytes).collect()} for shard_bytes in (1 << 20, 900))
+    assert small == large == {**dict(enumerate(want[:60])), **{100 + i: want[i] for i in range(540)}}
+
+
 def test_very_many_copies_move_once(spark, monkeypatch):
     monkeypatch.setattr(html_text, "COPIES", 10)
     rows = spark.createDataFrame([("h", "<p>a</p>")] * 50 + [("h", "<p>b</p>")] * 3 + [("g", None)], "host string, html string")
