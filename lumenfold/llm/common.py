@@ -33,14 +33,14 @@ def code_points(text: Column) -> Column:
     return F.char_length(text).cast("long")
 
 
-def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """texts, a text column of a batch, in runs of rows of about SLICE_BYTES; nulls become empty."""
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """texts, a text column of a batch, in runs of rows of about `size` bytes; nulls become empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset + 1 : texts.offset + len(texts) + 1] if len(texts) else np.zeros(0, np.int64)
     lo = 0
     while lo < len(texts):
         start = ends[lo - 1] if lo else ends[0]
-        hi = max(lo + 1, int(np.searchsorted(ends, start + SLICE_BYTES, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, start + size, "right")))
         yield texts.slice(lo, hi - lo)
         lo = hi
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, numbered_words, released, staged, text_slices
+from .common import gathered, numbered_words, release, released, staged, text_slices
 
 SEQUENCE, MAX_DOCS = 2048, 2048
 SHARD = 8192
@@ -49,6 +49,9 @@ _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 #: Parts whose ids a task remembers; beyond them it begins anew.
 KNOWN = 400_000
+#: Rows and bytes of texts that are encoded at once; what that took is given back before the next, as an executor's memory has to
+#: hold two workers beside a grown heap.
+ROWS, SLICE = 1024, 2 << 20
 #: Beyond ASCII without control characters other than line ends and tabs, Latin-1 letters and a few marks that
 #: normalization and lower-casing treat one character at a time; and special tokens.
 _ODD = "[^\t\n\r\x20-\x7e¡-§©«¬°±¶·»¿-ÿŒœŸ–—‘’“”…€]|<\\|(?:start|end)oftext\\|>"
@@ -115,17 +118,20 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, vocabulary: str = VOCABULARY
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = WordEncoder(tokenizer_path(vocabulary)), bytes(4)
         for batch in batches:
-            at = 0
-            for texts in text_slices(batch.column("text")):
-                rows = []
-                for i, ids in enumerate(enc.encode(texts), at):
-                    raw = ids.tobytes() + end
-                    n = len(raw) // 4
-                    rows += [(i, k, s, min(length, n - s), zlib.crc32(raw[4 * s : 4 * (s + length)])) for k, s in enumerate(range(0, n, length))]
-                at += len(texts)
-                row, *columns = zip(*rows, strict=True)
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=NAMES)
+            for lo in range(0, len(batch), ROWS):
+                part, at = batch.slice(lo, ROWS), 0
+                for texts in text_slices(part.column("text"), SLICE):
+                    rows = []
+                    for i, ids in enumerate(enc.encode(texts), at):
+                        raw = ids.tobytes() + end
+                        n = len(raw) // 4
+                        rows += [(i, k, s, min(length, n - s), zlib.crc32(raw[4 * s : 4 * (s + length)])) for k, s in enumerate(range(0, n, length))]
+                    at += len(texts)
+                    row, *columns = zip(*rows, strict=True)
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=NAMES)
+                    del rows, texts, ids, raw, row, columns
+                    release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, SCHEMA)
 

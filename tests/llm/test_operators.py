@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import helpers as H
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,6 +360,20 @@ def test_packing_round_trip(spark):
     assert len(places) <= sum(x["length"] for x in out) / 2048 * 1.05 + 2
 
 
+def test_packing_encodes_few_texts_at_once(spark, monkeypatch):
+    # what is encoded at once, and with it a worker's memory, doesn't grow with the batches that Spark hands over
+    sizes = []
+    rows = [(i, "word " * 400) for i in range(3000)]
+    monkeypatch.setattr(packing, "SLICE", 100_000)
+    monkeypatch.setattr(packing.WordEncoder, "encode", lambda self, texts: sizes.append(texts.nbytes) or [np.zeros(3, "<u4")] * len(texts))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    seen = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, run, schema: seen.append(run))
+    packing.pieces(H.table(spark, []))
+    out = pa.Table.from_batches(list(seen[0](iter([batch]))))
+    assert out.column("doc_id").to_pylist() == list(range(3000)) and max(sizes) < 150_000 and len(sizes) >= 3000 * 2000 // 150_000
+
+
 def test_packing_is_a_vector_choice():
     r = np.random.default_rng(5)
     lengths = np.concatenate([r.integers(1, 300, 700), r.integers(300, 2049, 300)])
